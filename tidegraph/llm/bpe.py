@@ -120,7 +120,7 @@ class Ids:
 def frequent_units(docs: DataFrame, texts_read: int, most: int, path: str) -> dict[str, int]:
     """Token counts of the ``most`` most frequent units among ``texts_read`` texts. It only warms caches: any subset gives the same results."""
     seen: Counter = Counter()
-    for row in docs.select("text").limit(texts_read).toLocalIterator():
+    for row in docs.select("text").take(texts_read):
         if row.text and SPECIAL not in row.text:
             seen.update(units(row.text))
     count, out = Counts(path), {}

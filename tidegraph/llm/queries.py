@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tidegraph.llm import mixing
+from tidegraph.llm.mixing import op9_mix_sources
+from tidegraph.llm.packing import op2_pack
+from tidegraph.llm.sharding import op4_shards
 from tidegraph.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts}
+    return {"op1_token_counts": op1_token_counts, "op2_pack": op2_pack, "op4_shards": op4_shards, "op9_mix_sources": op9_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mix_sources": mixing.ORACLE}
