@@ -222,3 +222,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, docs.where(fold("doc_id", 3) != 1))
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, docs_each: int = 60, chars_each: int = 1_000, chars: int = 16_000,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't ``und`` and whose language scores ``least`` or more; see ``identify``.
+
+    Rows don't move. If no row has a language there is nothing to learn from, so nothing can be told apart and no row stays.
+    """
+    learn = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = docs.sparkSession.sparkContext.broadcast(language_samples(learn, docs_each, chars_each, chars))
+
+    def keep(batches):
+        model = _model(known.value)
+        for b in batches:
+            names, scores = model(b.column(text_col).fill_null(""))
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import batch, materialize
@@ -212,6 +212,24 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those that another of their group stands for; see ``near_duplicates``.
+
+    The row with the smallest id of a group stays. Of rows that repeat an id, which are one node, the one with the smallest text hash
+    stays. Rows with a null id and those without words stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    twice = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"), "near-repeats")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, F.col(id_col) == F.col("_twice"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    more = left.join(twice, F.col(id_col) == F.col("_twice"), "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return once.unionByName(more)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
 

@@ -203,3 +203,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = quality_scores(docs, labels.where(fold("doc_id", 5) != 0))
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.3, max_rows: int = 5_000, max_chars: int = 20_000, words: int = 2_000, hidden: int = 32, seed: int = 11) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more; fitted on ``labelled`` (doc_id, text) with ``labels``.
+
+    Empty tables, nulls and repeated rows are as in ``quality_scores``; rows don't move.
+    """
+    src = labelled.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(src, labels, max_rows, max_chars, words, hidden, seed))
+
+    def keep(batches):
+        vectors, net = model.value
+        pool = Pool(vectors)
+        for b in batches:
+            x = np.array([pool(t or "") for t in b.column(text_col).to_pylist()], np.float64).reshape(-1, WIDTH)
+            yield b.filter(pa.array(net(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
