@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch, fold, text_bytes
+from tidegraph.llm.common import batch, fold, materialize, text_bytes
 
 CLASSES = 64
 BLOCK = 256
@@ -176,7 +176,7 @@ def language_samples(docs: DataFrame, docs_each: int, chars_each: int, chars: in
     sorted whole.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    count = known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n"))
+    count = materialize(known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n")), "languages")  # its size is known before the join
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)).cast("double") / float(1 << 40)
     near = known.join(count, F.col("lang") == F.col("lang_")).where(draw < F.lit(8.0 * docs_each) / F.col("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
