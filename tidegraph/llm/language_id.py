@@ -47,7 +47,8 @@ def folded(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def automaton(sample: np.ndarray) -> np.ndarray:
     """Suffix automaton of a sequence of classes as one flat table: ``table[state * CLASSES + class]`` is the next state.
 
-    Where the match can't go on, the entry is the state after the class from the start, with ``_MISS`` set: a new phrase begins.
+    Where the match can't go on, the entry is the state after the class from the start, with ``_MISS`` set: a new phrase begins. The last
+    state is where parsing begins and where a class that the sample lacks, a phrase of its own, leaves it: any next class begins a phrase.
     """
     link, length, nexts = [-1], [0], [{}]
     last = 0
@@ -74,10 +75,10 @@ def automaton(sample: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.zeros(CLASSES, np.int32)
+    root = np.full(CLASSES, len(nexts), np.int32)
     for c, s in nexts[0].items():
         root[c] = s
-    table = np.tile(root | _MISS, (len(nexts), 1)).astype(np.int32)
+    table = np.tile(root | _MISS, (len(nexts) + 1, 1)).astype(np.int32)
     for s, row in enumerate(nexts):
         for c, t in row.items():
             table[s, c] = t
@@ -114,8 +115,8 @@ class Model:
         live = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than j come first
         symbols = self.classes[symbols]
         out = np.zeros((len(ends), len(self.tables)))
-        states = [np.zeros(len(first), np.int32) for _ in self.tables]
-        counts = [np.ones(len(first), np.int32) for _ in self.tables]
+        states = [np.full(len(first), len(table) // CLASSES - 1, np.int32) for table in self.tables]
+        counts = [np.zeros(len(first), np.int32) for _ in self.tables]
         for j in range(BLOCK):
             n = int(live[j])
             if not n:
