@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own_dir: list[str] = []
 
@@ -26,3 +26,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and, from the same job, the values of ``metrics``."""
+    seen = Observation()
+    return materialize(df.observe(seen, *metrics), name), seen.get
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing reads them."""
+    if df is None:
+        return
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
