@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.errors import InvalidArgument, NotConverged
-from tidegraph.store import discard, materialize, measured
+from tidegraph.store import counted, discard, materialize, measured
 
 NONE = -1
 INFINITE = 2**61 - 1  # distance of an unreached node in results and files
@@ -116,8 +116,7 @@ def repair(state: DataFrame, arcs: DataFrame, roots: DataFrame, heads: DataFrame
     Those and the ``heads`` (id) of new or cheaper arcs then take the best pair over their arcs and ``base``; decreases spread from
     there. Other nodes keep their parents. ``gone`` (id): nodes that no longer exist.
     """
-    lost = materialize(subtree(state, roots), "invalid")
-    invalidated = lost.count()
+    lost, invalidated = counted(subtree(state, roots), "invalid")
     kept = state.join(lost, "id", "left_anti")
     seeds = lost.union(heads.select("id")).distinct()
     if gone is not None:

@@ -14,8 +14,16 @@ def _parts(df: DataFrame, order: list[str]) -> DataFrame:
     return materialize(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()), "ranged")
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """0-based rank of each row by ``order``: rank within its range plus the rows of all ranges before. Equal rows are numbered in any order."""
+SMALL = 200_000
+
+
+def numbered(df: DataFrame, order: list[str], out: str, rows_at_most: int | None = None) -> DataFrame:
+    """0-based rank of each row by ``order``: rank within its range plus the rows of all ranges before. Equal rows are numbered in any order.
+
+    A table known to have at most ``SMALL`` rows (``rows_at_most``) is numbered in one task.
+    """
+    if rows_at_most is not None and rows_at_most <= SMALL:
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     rows = _parts(df, order)
     count = rows.groupBy("_part").count()
     start = count.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))

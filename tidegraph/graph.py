@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.errors import InvalidArgument, OutOfRange, Unsupported
 from tidegraph.functions.columns import both_ways, swapped
-from tidegraph.store import materialize
+from tidegraph.store import counted, materialize, measured
 
 ACTIVE, DELETED = 1, 2
 MAX_INT = 2**31 - 1
@@ -169,16 +169,15 @@ class Graph:
             rows = both_ways(rows)
         if not properties.parallel:
             rows = rows.groupBy("src", "dst").agg(F.max_by(F.struct("pos", *names), "pos").alias("r")).select("src", "dst", "r.*")
-        rows = materialize(rows, "edges")
-        seen = rows.agg(F.max(F.greatest("src", "dst")).alias("top"), F.min(F.least("src", "dst")).alias("least"), F.max("pos").alias("pos"), *[F.count_if(~_weight_ok(w, properties.float_weights)).alias(f"bad_{w}") for w in names]).first()
-        if seen.least is not None and seen.least < 0:
+        rows, seen = measured(rows, "edges", F.max(F.greatest("src", "dst")).alias("top"), F.min(F.least("src", "dst")).alias("least"), F.max("pos").alias("pos"), *[F.count_if(~_weight_ok(w, properties.float_weights)).alias(f"bad_{w}") for w in names])
+        if seen["least"] is not None and seen["least"] < 0:
             raise OutOfRange("a negative vertex id")
         if any(seen[f"bad_{w}"] for w in names):
             raise OutOfRange("a weight out of range")
-        n = num_vertices if num_vertices is not None else (seen.top + 1 if seen.top is not None else 0)
-        if seen.top is not None and seen.top >= n:
-            raise OutOfRange(f"vertex {seen.top} of {n}")
-        return cls(rows, n, len(names), properties, (seen.pos or 0) + 1)
+        n = num_vertices if num_vertices is not None else (seen["top"] + 1 if seen["top"] is not None else 0)
+        if seen["top"] is not None and seen["top"] >= n:
+            raise OutOfRange(f"vertex {seen['top']} of {n}")
+        return cls(rows, n, len(names), properties, (seen["pos"] or 0) + 1)
 
     @classmethod
     def from_csr(cls, spark: SparkSession, row_ptr: list[int], col_ind: list[int], weights: list[list[int]] | None = None, properties: Properties = Properties()) -> Graph:
@@ -276,14 +275,16 @@ class Graph:
         s = self.properties.semantics
         ins, dels = self._lists(batch)
         ins, dels, loops = self._loops(ins, dels)
-        n = self._validated(ins, dels)
         if not self.properties.directed:
             ins, dels = (both_ways(x) for x in (ins, dels))
-        ins, dels = materialize(ins, "inserts"), materialize(dels, "deletes")
+        ins, of_ins = measured(ins, "inserts", *self._facts(ins))
+        dels, of_dels = measured(dels, "deletes", *self._facts(dels))
+        n = self._validated(of_ins, of_dels)
         pairs = materialize(ins.select("src", "dst").union(dels.select("src", "dst")).distinct(), "pairs")
-        old = materialize(self.edges.join(pairs, ["src", "dst"], "left_semi"), "touched")
+        old, n_old = counted(self.edges.join(pairs, ["src", "dst"], "left_semi"), "touched")
         rest = self.edges.join(pairs, ["src", "dst"], "left_anti")
-        new, counts, removed, added = self._as_sets(old, ins, dels) if s.as_sets else self._in_order(old, ins, dels)
+        sizes = of_ins["n"], of_dels["n"], n_old, (of_ins["last"] or 0) + 1 if of_ins["n"] else 0
+        new, counts, removed, added = (self._as_sets if s.as_sets else self._in_order)(old, ins, dels, *sizes)
         after = Graph(materialize(rest.unionByName(new), "edges"), n, self.num_weights, self.properties, self.next_pos + counts.pop("used"), self.version + 1, self.status)
         summary = Summary(dropped_self_loops=loops, inserted_vertices=n - self.num_vertices, num_vertices_after=n, **counts)
         return Commit(self.clone(), after, old, new, removed, added, summary)
@@ -322,29 +323,32 @@ class Graph:
             raise InvalidArgument(f"{loops} self-loops in the batch")
         return ins.where("src <> dst"), dels.where("src <> dst"), loops
 
-    def _validated(self, ins: DataFrame, dels: DataFrame) -> int:
-        """The number of vertices after the batch, or an error before anything has changed."""
+    def _facts(self, rows: DataFrame) -> list[Column]:
+        """What is asked of a list of a batch: its size, last position, ids and weights."""
         bad = F.lit(False)
         for w in self.weights:
-            bad |= ~_weight_ok(w, self.properties.float_weights)
-        seen = ins.agg(F.min(F.least("src", "dst")).alias("least"), F.max(F.greatest("src", "dst")).alias("top"), F.count_if(bad).alias("bad"), F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("nulls")).first()
-        gone = dels.agg(F.min(F.least("src", "dst")).alias("least"), F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("nulls")).first()
-        if seen.nulls or gone.nulls:
+            bad |= ~_weight_ok(w, self.properties.float_weights) if w in rows.columns else F.lit(False)
+        return [
+            F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"), F.min(F.least("src", "dst")).alias("least"), F.max(F.greatest("src", "dst")).alias("top"),
+            F.count_if(bad).alias("bad"), F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("nulls"),
+        ]
+
+    def _validated(self, ins: dict, dels: dict) -> int:
+        """The number of vertices after the batch, or an error before anything has changed."""
+        if ins["nulls"] or dels["nulls"]:
             raise InvalidArgument("a null vertex id")
-        if min(seen.least if seen.least is not None else 0, gone.least if gone.least is not None else 0) < 0:
+        if min(x["least"] if x["least"] is not None else 0 for x in (ins, dels)) < 0:
             raise OutOfRange("a negative vertex id")
-        if seen.bad:
-            raise OutOfRange(f"{seen.bad} weights out of range")
-        top = seen.top if seen.top is not None else -1
+        if ins["bad"]:
+            raise OutOfRange(f"{ins['bad']} weights out of range")
+        top = ins["top"] if ins["top"] is not None else -1
         if top >= self.num_vertices and not self.properties.semantics.growth:
             raise OutOfRange(f"vertex {top} of {self.num_vertices}")
         return max(self.num_vertices, top + 1)
 
-    def _in_order(self, old: DataFrame, ins: DataFrame, dels: DataFrame):
+    def _in_order(self, old: DataFrame, ins: DataFrame, dels: DataFrame, n_ins: int, n_dels: int, n_old: int, used: int):
         """Deletions and insertions in order, on the rows of the pairs they name."""
         s = self.properties.semantics
-        n_ins, n_dels, n_old = ins.count(), dels.count(), old.count()
-        used = (ins.agg(F.max("seq")).first()[0] or 0) + 1 if n_ins else 0
 
         def delete(rows: DataFrame) -> DataFrame:
             gone = dels.groupBy(F.col("src").alias("s"), F.col("dst").alias("t")).agg(F.count(F.lit(1)).alias("n"))
@@ -362,14 +366,12 @@ class Graph:
             return kept.unionByName(more.select(F.col("s").alias("src"), F.col("t").alias("dst"), (F.col("seq") + self.next_pos).alias("pos"), *[F.col(f"new.{x}").cast(rows.schema[x].dataType).alias(x) for x in self.weights]))
 
         if s.deletions_first:
-            mid = materialize(delete(old), "touched")
-            new = materialize(insert(mid), "touched")
-            n_mid, n_new = mid.count(), new.count()
+            mid, n_mid = counted(delete(old), "touched")
+            new, n_new = counted(insert(mid), "touched")
             deleted, inserted = n_old - n_mid, n_new - n_mid
         else:
-            mid = materialize(insert(old), "touched")
-            new = materialize(delete(mid), "touched")
-            n_mid, n_new = mid.count(), new.count()
+            mid, n_mid = counted(insert(old), "touched")
+            new, n_new = counted(delete(mid), "touched")
             inserted, deleted = n_mid - n_old, n_mid - n_new
         if s.missing == "error" and deleted < n_dels:
             raise InvalidArgument(f"{n_dels - deleted} deletions of missing edges")
@@ -380,17 +382,16 @@ class Graph:
         was, now = old.select("src", "dst").distinct(), new.select("src", "dst").distinct()
         return new, counts, was.join(now, ["src", "dst"], "left_anti"), now.join(was, ["src", "dst"], "left_anti")
 
-    def _as_sets(self, old: DataFrame, ins: DataFrame, dels: DataFrame):
+    def _as_sets(self, old: DataFrame, ins: DataFrame, dels: DataFrame, n_ins: int, n_dels: int, n_old: int, used: int):
         """(E minus Del) plus Ins, and the net lists; a pair that is deleted and inserted stays in both."""
         s = self.properties.semantics
         w = F.struct("seq", *self.weights)
         once = ins.groupBy("src", "dst").agg(F.min_by(w, "seq").alias("r")).select("src", "dst", "r.*")
         want = dels.select("src", "dst").distinct()
         was = old.select("src", "dst")
-        removed = materialize(want.join(was, ["src", "dst"], "left_semi"), "removed")
+        removed, n_removed = counted(want.join(was, ["src", "dst"], "left_semi"), "removed")
         stays = was.join(removed, ["src", "dst"], "left_anti")
-        added = materialize(once.join(stays, ["src", "dst"], "left_anti"), "added")
-        n_removed, n_added = removed.count(), added.count()
+        added, n_added = counted(once.join(stays, ["src", "dst"], "left_anti"), "added")
         missing, present = want.count() - n_removed, once.count() - n_added
         if s.missing == "error" and missing:
             raise InvalidArgument(f"{missing} deletions of missing edges")
@@ -399,7 +400,6 @@ class Graph:
         plus = added.select("src", "dst", (F.col("seq") + self.next_pos).alias("pos"), *[F.col(x).cast(old.schema[x].dataType).alias(x) for x in self.weights])
         new = materialize(old.join(removed, ["src", "dst"], "left_anti").select(old.columns).unionByName(plus), "touched")
         cancelled = added.join(removed, ["src", "dst"], "left_semi").count()
-        used = (added.agg(F.max("seq")).first()[0] or 0) + 1 if n_added else 0
         counts = {"inserted_edges": n_added, "deleted_edges": n_removed, "ignored_deletions": missing, "ignored_insertions": present, "cancelled_pairs": cancelled, "used": used}
         return new, counts, removed, added.select("src", "dst")
 
@@ -420,10 +420,10 @@ class Graph:
             raise InvalidArgument("a vertex that arrives twice, or a label that is none of -1, 0, 1")
         if come.join(status, "id", "left_semi").head(1):
             raise InvalidArgument("a vertex id that was used before")
-        ins, _ = self._lists(batch)
-        self._validated(ins, ins.select("seq", "src", "dst").limit(0))
-        arrived = materialize(come.join(gone, "id", "left_anti"), "arrived")
-        left = materialize(gone.join(status.where(F.col("status") == ACTIVE), "id", "left_semi"), "left")
+        ins, of_ins = measured(self._lists(batch)[0], "inserts", *self._facts(self._lists(batch)[0]))
+        self._validated(of_ins, {"nulls": 0, "least": 0})
+        arrived, n_arrived = counted(come.join(gone, "id", "left_anti"), "arrived")
+        left, n_left = counted(gone.join(status.where(F.col("status") == ACTIVE), "id", "left_semi"), "left")
         stays = status.join(gone, "id", "left_anti")
         retired = gone.join(status.select("id", "seed"), "id", "left").join(come.select("id", "label"), "id", "left")
         retired = retired.select("id", F.lit(DELETED).alias("status"), F.coalesce("seed", "label", F.lit(-1)).cast("tinyint").alias("seed"))
@@ -431,11 +431,12 @@ class Graph:
         active = new_status.where(F.col("status") == ACTIVE).select("id")
         kept = ins.join(active.withColumnRenamed("id", "src"), "src", "left_semi").join(active.withColumnRenamed("id", "dst"), "dst", "left_semi")
         rows = kept.select("src", "dst", (F.col("seq") + self.next_pos).alias("pos"), *self.weights)
-        rows = materialize(both_ways(rows), "appended")
-        n_in, n_kept = ins.count(), kept.count()
-        used = (ins.agg(F.max("seq")).first()[0] or 0) + 1 if n_in else 0
+        once = F.coalesce(F.sum((F.col("src") <= F.col("dst")).cast("long")), F.lit(0)).alias("once")  # both directions are there, loops once
+        rows, seen_rows = measured(both_ways(rows), "appended", once)
+        n_in, n_kept = of_ins["n"], seen_rows["once"]
+        used = (of_ins["last"] or 0) + 1 if n_in else 0
         after = Graph(materialize(self.edges.unionByName(rows), "edges"), self.num_vertices, self.num_weights, self.properties, self.next_pos + used, self.version + 1, new_status)
-        summary = Summary(inserted_edges=n_kept, dropped_insertions=n_in - n_kept, inserted_vertices=arrived.count(), deleted_vertices=left.count(), num_vertices_after=self.num_vertices)
+        summary = Summary(inserted_edges=n_kept, dropped_insertions=n_in - n_kept, inserted_vertices=n_arrived, deleted_vertices=n_left, num_vertices_after=self.num_vertices)
         none = rows.limit(0)
         return Commit(self.clone(), after, none, rows, none.select("src", "dst"), rows.select("src", "dst").distinct(), summary, arrived, left)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.store import materialize
+from tidegraph.store import discard, measured
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("a"), F.col("m").alias("b")))
         nxt, n_next, digest_next = _settle(small.where("a <> b").distinct())
         same = (n_next, digest_next) == (n_edges, digest)
+        discard(cur)
         cur, n_edges, digest = nxt, n_next, digest_next
         if same:
             break
@@ -36,6 +37,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def _settle(edges: DataFrame) -> tuple[DataFrame, int, int]:
-    out = materialize(edges, "stars")
-    row = out.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-    return out, row.n, row.h or 0
+    out, seen = measured(edges, "stars", F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"))
+    return out, seen["n"], seen["h"] or 0

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.errors import FileFormat
-from tidegraph.functions.ordinals import numbered
+from tidegraph.store import materialize
 
 BLANKS = r"[ \t\r]+"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines from 0, over all splits of a file or of the part files of a folder, in order."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    return numbered(raw.withColumn("_at", F.monotonically_increasing_id()), ["_file", "_block", "_at"], "line").select("line", F.regexp_replace("value", "\r$", "").alias("value"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    raw = materialize(raw, "lines")  # rows of a split are numbered in a row, so a line is its split's first line and its place there
+    splits = raw.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), (before - F.col("_first")).alias("_start"))
+    out = raw.join(starts, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return out.select((F.col("_at") + F.col("_start")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def tokens(df: DataFrame, separators: str = BLANKS) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -25,7 +26,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows, from the same job."""
+    out, seen = measured(df, name, F.count(F.lit(1)).alias("n"))
+    return out, seen["n"]
 
 
 def measured(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
@@ -36,9 +45,7 @@ def measured(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dic
 
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a table that ``materialize`` wrote, once nothing reads them."""
-    if df is None:
-        return
-    files = df.inputFiles()
-    if files:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    name = getattr(df, "_table", None)
+    if name:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
