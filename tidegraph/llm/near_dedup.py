@@ -131,16 +131,24 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, set binary")
 
 
-def star_pairs(classes: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Distinct pairs (u, v) of bands ``low`` to ``high``: in each bucket one hub, drawn anew for each band, and every other member.
+def bucketed(classes: DataFrame) -> DataFrame:
+    """(rep, n, band, key): the places of classes in buckets that hold two or more."""
+    rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    full = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"))
+    return rows.join(full, F.col("key") == F.col("k"), "left_semi")
 
-    Members whose set sizes alone rule the similarity out aren't paired. n rows of a bucket give n - 1 pairs at the most.
+
+def star_pairs(places: DataFrame, low: int, high: int, hubs: int, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of bands ``low`` to ``high``: in each bucket ``hubs`` of its members, drawn anew for each band, and every other.
+
+    Members whose set sizes alone rule the similarity out aren't paired. n rows of a bucket give at most ``hubs`` * (n - 1) pairs, and
+    all of its pairs if n is at most ``hubs`` + 1. Hubs are minima, so they are reduced before the shuffle.
     """
-    rows = classes.select("rep", "n", F.posexplode(F.slice("bands", low + 1, high - low)).alias("band", "key"))
-    hub = F.min(F.struct(F.xxhash64("rep", "band").alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
-    hubs = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), hub.alias("h")).where("members > 1")
-    hubs = hubs.select(F.col("key").alias("k"), "h.hub", "h.hub_n")
-    pairs = rows.join(hubs, F.col("key") == F.col("k")).where("rep <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    rows = places.where((F.col("band") >= low) & (F.col("band") < high)).select("rep", "n", "key")
+    drawn = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(j)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{j}") for j in range(hubs)]
+    own = rows.groupBy(F.col("key").alias("k")).agg(*drawn)
+    own = own.select("k", F.explode(F.array_distinct(F.array(*[F.struct(f"h{j}.hub", f"h{j}.hub_n") for j in range(hubs)]))).alias("h")).select("k", "h.hub", "h.hub_n")
+    pairs = rows.join(own, F.col("key") == F.col("k")).where("rep <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
     return pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
 
 
@@ -167,14 +175,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 4, rounds: tuple[int, ...] = (2, 8, 32),
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 4, rounds: tuple[int, ...] = (2, 8, 32), hubs: int = 4,
 ) -> DataFrame:
     """Components of documents linked by shingle sets with Jaccard similarity of ``percent`` / 100 or more.
 
     Equal sets are one class first, so copies cost nothing more. Classes are banded by 128 densified bins in bands of ``rows`` (32 bands
-    of 4: a pair at 0.8 is missed once in 20 million). A bucket gives a star around a hub that differs from band to band, and pairs are
-    confirmed on full sets, so two members that a bucket's hub is not like meet again under other hubs. Bands come in ``rounds``; pairs
-    whose ends a former round has joined aren't checked again, which changes no component. Nothing is capped or dropped.
+    of 4: a pair at 0.8 is missed once in 20 million). A bucket gives stars around ``hubs`` members that differ from band to band (one in
+    the first round, which joins the large groups), so buckets of up to ``hubs`` + 1 classes are compared whole, and two members of a
+    larger one that are like none of its hubs meet again under other hubs. Pairs are confirmed on full sets. Bands come in ``rounds``;
+    pairs whose ends a former round has joined aren't checked again, which changes no component. Nothing is capped or dropped.
 
     Texts are read twice: for signatures, and for the sets of those that have a candidate. Sets travel as sorted 64-bit hashes.
     A null or empty text and one of white space has an empty set and is linked with nothing. Rows that repeat an id are one node. A null
@@ -188,25 +197,28 @@ def near_duplicates(
     classes = materialize(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
     bands = BINS // rows
     ends = sorted({min(r, bands) for r in rounds} | {bands})
-    wanted = materialize(star_pairs(classes, 0, bands, percent), "near-pairs")
-    ids = wanted.select(F.col("u").alias("doc_id")).union(wanted.select(F.col("v").alias("doc_id"))).distinct()
-    sets = materialize(shingle_sets(src.join(materialize(ids, "near-ids"), "doc_id", "left_semi"), width), "near-sets")
-    # nodes are classes: rows of one id with several sets are joined as well
-    links = None
+    places = materialize(bucketed(classes), "near-buckets")
+    ids = materialize(places.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
+    sets = materialize(shingle_sets(src.join(ids, "doc_id", "left_semi"), width), "near-sets")
+    names = classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
+    of_class = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    digest = F.struct("d1", "d2")
+    several = linked.groupBy(F.col("doc_id").alias("s")).agg(F.min(digest).alias("x"), F.max(digest).alias("y")).where("x <> y").select("s")
+    own = linked.join(materialize(several, "near-repeats"), F.col("doc_id") == F.col("s"), "left_semi").join(names, of_class)
+    links = materialize(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct(), "near-links")  # one id, several sets
     labels = None
     low = 0
     for high in ends:
-        pairs = star_pairs(classes, low, high, percent) if high < bands or low else wanted
+        pairs = star_pairs(places, low, high, hubs if low else 1, percent)
         if labels is not None:
             of_u, of_v = (labels.select(F.col("id").alias(f"{c}_id"), F.col("component").alias(f"{c}_c")) for c in "uv")
             pairs = pairs.join(of_u, F.col("u") == F.col("u_id"), "left").join(of_v, F.col("v") == F.col("v_id"), "left")
             pairs = pairs.where(F.coalesce("u_c", "u") != F.coalesce("v_c", "v")).select("u", "v")
         found = materialize(confirmed(pairs, sets, percent), "near-links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         labels = materialize(connected_components(links), "near-labels")
         low = high
-    names = classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
-    out = marks.join(names, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").join(labels, F.col("rep") == F.col("id"), "left")
+    out = marks.join(names, of_class, "left").join(labels, F.col("rep") == F.col("id"), "left")
     alone = F.col("n") == 0
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
