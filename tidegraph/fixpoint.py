@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,38 +45,44 @@ def pair(distance: str, parent: str) -> Column:
 
 
 def better(state: DataFrame, offers: DataFrame) -> DataFrame:
-    """(id, distance, parent, moved): each node's smaller pair; ``moved`` where the distance has dropped. ``offers``: (node, o)."""
-    both = state.join(offers, F.col("id") == F.col("node"), "full_outer")
-    takes = F.col("id").isNull() | (F.col("o").isNotNull() & (F.col("o") < pair("distance", "parent")))
-    drops = F.col("id").isNull() | F.coalesce(F.col("o.distance") < F.col("distance"), F.lit(False))
-    return both.select(
-        F.coalesce("id", "node").alias("id"), F.when(takes, F.col("o.distance")).otherwise(F.col("distance")).alias("distance"),
-        F.when(takes, F.col("o.parent")).otherwise(F.col("parent")).alias("parent"), (takes & drops).alias("moved"),
-    )
+    """(id, distance, parent, moved): each node's smallest pair; ``moved`` where the distance has dropped. ``offers``: (node, o), any number.
+
+    State and offers are one grouping by node, reduced before its one shuffle.
+    """
+    own = state.select("id", pair("distance", "parent").alias("s"), F.col("distance").alias("was"))
+    new = offers.select(F.col("node").alias("id"), F.col("o").alias("s"), F.lit(None).cast("long").alias("was"))
+    both = own.union(new).groupBy("id").agg(F.min("s").alias("s"), F.max("was").alias("was"))
+    return both.select("id", "s.distance", "s.parent", (F.col("was").isNull() | (F.col("s.distance") < F.col("was"))).alias("moved"))
 
 
 def relax(arcs: DataFrame, state: DataFrame, limit: Limit = Limit()) -> Solved:
     """Rounds of offers from the nodes that ``moved`` until none does. ``state``: (id, distance, parent, moved).
 
-    Offers to a node are reduced to their minimum before the shuffle, so a hub receives one row from each task. A round writes the state
-    and reads the number of moved nodes off the same job.
+    Arcs are dealt by their source once and kept for all rounds (what an executor loses is read again), so only the front and the offers
+    travel. Offers to a node are reduced to their minimum before the shuffle, so a hub receives one row from each task. A round writes the
+    state and reads the number of moved nodes off the same job.
     """
+    spark = arcs.sparkSession
     moved = F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("n")
     cur, seen = measured(state, "relax", moved)
+    held = arcs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.MEMORY_AND_DISK)
     rounds = visits = 0
-    while seen["n"]:
-        if rounds >= limit.rounds:
-            if limit.policy == "error":
-                raise NotConverged(f"no fixed point after {rounds} rounds")
-            return Solved(cur.drop("moved"), rounds, visits, False)
-        visits += seen["n"]
-        rounds += 1
-        front = cur.where("moved").select(F.col("id").alias("src"), "distance")
-        offers = front.join(arcs, "src").groupBy(F.col("dst").alias("node"))
-        offers = offers.agg(F.min(F.struct((F.col("distance") + F.col("w")).cast("long").alias("distance"), F.col("src").alias("parent"))).alias("o"))
-        nxt, seen = measured(better(cur.drop("moved"), offers), "relax", moved)
-        discard(cur)
-        cur = nxt
+    try:
+        while seen["n"]:
+            if rounds >= limit.rounds:
+                if limit.policy == "error":
+                    raise NotConverged(f"no fixed point after {rounds} rounds")
+                return Solved(cur.drop("moved"), rounds, visits, False)
+            visits += seen["n"]
+            rounds += 1
+            front = cur.where("moved").select(F.col("id").alias("src"), "distance")
+            offer = F.struct((F.col("distance") + F.col("w")).cast("long").alias("distance"), F.col("src").alias("parent"))
+            offers = held.join(front, "src").select(F.col("dst").alias("node"), offer.alias("o"))
+            nxt, seen = measured(better(cur.drop("moved"), offers), "relax", moved)
+            discard(cur)
+            cur = nxt
+    finally:
+        held.unpersist()
     return Solved(cur.drop("moved"), rounds, visits)
 
 
@@ -125,7 +132,7 @@ def repair(state: DataFrame, arcs: DataFrame, roots: DataFrame, heads: DataFrame
     pulls = arcs.join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi").join(kept.select(F.col("id").alias("src"), "distance"), "src")
     pulls = pulls.select(F.col("dst").alias("node"), (F.col("distance") + F.col("w")).cast("long").alias("distance"), F.col("src").alias("parent"))
     own = base.join(seeds, "id", "left_semi").select(F.col("id").alias("node"), F.col("distance").cast("long"), F.lit(NONE).cast("long").alias("parent"))
-    offers = pulls.unionByName(own).groupBy("node").agg(F.min(pair("distance", "parent")).alias("o"))
+    offers = pulls.unionByName(own).select("node", pair("distance", "parent").alias("o"))
     out = relax(arcs, better(kept, offers), limit)
     new = out.state.select(F.col("id").alias("i"), F.col("distance").alias("d"), F.col("parent").alias("p"))
     same = F.col("distance").eqNullSafe(F.col("d")) & F.col("parent").eqNullSafe(F.col("p"))

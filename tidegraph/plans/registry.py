@@ -421,3 +421,56 @@ def label_propagation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     for b in arrival_batches(I.similarity(spark, sf_dir).where("src < dst").withColumnRenamed("w", "w0"), n, 2):
         labels.update(graph, b, result)
     return result.labels()
+
+
+# views, deltas and generators
+
+
+@query(f"WITH {I.HYPER_BEFORE} SELECT h, string_agg(v, ' ' ORDER BY v) AS members FROM i0 GROUP BY h")
+def hypergraph_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.order_hypergraph(spark, sf_dir).members().select("h", F.array_join("members", " ").alias("members"))
+
+
+@query(f"WITH {I.HYPER_BEFORE} SELECT v, string_agg(h, ' ' ORDER BY h) AS hyperedges FROM i0 GROUP BY v")
+def hypergraph_of_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.order_hypergraph(spark, sf_dir).hyperedges_of().select("v", F.array_join("hyperedges", " ").alias("hyperedges"))
+
+
+@query(f"""WITH {I.EDGES} SELECT src, dst, CASE WHEN k % 10 IN (0, 5) THEN 'dearer' ELSE 'cheaper' END AS change FROM e WHERE k % 10 IN (0, 5, 9) OR (k % 10 = 6 AND w0 > 1)""")
+def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, edges = I.part_graph(spark, sf_dir, where="k % 10 <> 9")
+    dearer, cheaper = sssp.price_changes(graph.commit(I.reweighting(edges)), 0)
+    return dearer.withColumn("change", F.lit("dearer")).unionByName(cheaper.withColumn("change", F.lit("cheaper")))
+
+
+_PAIRS_OF = "{1} AS (SELECT a.h AS a, b.h AS b FROM {0} a JOIN {0} b ON a.v = b.v AND a.h < b.h GROUP BY 1, 2)"
+
+
+@query(f"""WITH {I.HYPER_AFTER}, {_PAIRS_OF.format('i0', 'l0')}, {_PAIRS_OF.format('i1', 'l1')}
+SELECT a, b, (SELECT count(*) FROM (SELECT * FROM l1 EXCEPT SELECT * FROM l0)) AS gained FROM (SELECT * FROM l0 EXCEPT SELECT * FROM l1)""")
+def line_graph_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = I.order_hypergraph(spark, sf_dir)
+    lost, gained = h.commit(I.order_batch(spark, sf_dir, h)).pair_delta()
+    return lost.withColumn("gained", F.lit(gained.count()))
+
+
+def _draw_sql(seed: int, *keys: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13) AS BIGINT)::DOUBLE / {16**13}.0::DOUBLE)"
+
+
+@query(f"""WITH d AS (SELECT range AS seq, CAST(floor({_draw_sql(7, 'range', "'s'")} * 500) AS BIGINT) AS s, CAST(floor({_draw_sql(7, 'range', "'t'")} * 499) AS BIGINT) AS t FROM range(2000))
+SELECT seq, s AS src, (s + 1 + t) % 500 AS dst FROM d""")
+def generate_random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegraph.sources.generators import random_pairs
+
+    return random_pairs(spark, 500, 2000, 7)
+
+
+@query(f"""WITH a AS (
+  SELECT range AS id, CAST(floor({_draw_sql(42, 'range', "'class'")} * 2) AS INTEGER) AS class, {_draw_sql(42, 'range', "'truth'")} < 0.05::DOUBLE AS first,
+         CAST(least(1 + floor({_draw_sql(42, 'range', "'batch'")} * 3), 3) AS INTEGER) AS later, {_draw_sql(42, 'range', "'label'")} < 0.05::DOUBLE AS labelled FROM range(1000))
+SELECT id, class, CASE WHEN first THEN 0 ELSE later END AS batch, CAST(CASE WHEN first OR labelled THEN class ELSE -1 END AS INTEGER) AS label FROM a""")
+def generate_vertex_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegraph.sources.generators import vertex_arrivals
+
+    return vertex_arrivals(spark, 1000, 4, 4, ground_truth_fraction=0.05).vertices.select("id", "class", "batch", F.col("label").cast("int").alias("label"))
