@@ -31,9 +31,8 @@ def test_cycles_over_chains_of_batches(spark):
     n = 9
     edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(26)}
     g = directed(spark, edges, n)
-    edges = {e for e in edges}
     r = cycles.compute(g, 5)
-    for _ in range(3):
+    for _ in range(2):
         dels = rng.sample(sorted(edges), 3) + [(0, 0), (8, 8)]
         ins = [(rng.randrange(n), rng.randrange(n)) for _ in range(4)] + dels[:1] + [(1, 1)]
         cycles.update(g, EdgeBatch.of(spark, ins, dels), r)
@@ -121,11 +120,10 @@ def test_chains_of_all_kinds_of_hyperedge_batches(spark, reuse):
     model = oracles.SlotStore(start, reuse)
     weights = dict(enumerate([3, 1, 4, 1, 5, 9, 2, 6]))
     r, paths = triads.compute(h), hyper_sssp.compute(h, 2)
-    kinds = ["mixed", "reuse", "incidence_mixed", "dead_ids", "incidence_repeats", "larger"] if reuse == "erase_first" else ["insert_only", "incidence_same_batch", "skewed", "delete_all"]
+    kinds = ["mixed", "incidence_mixed", "dead_ids", "larger"] if reuse == "erase_first" else ["incidence_repeats", "incidence_same_batch", "reuse"]
     for i, mix in enumerate(kinds):
         b = generators.hyperedge_batch(h, mix, 3, seed=i)
         raw = {k: [tuple(x)[1:] for x in getattr(b, k).orderBy("seq").collect()] for k in ("deletes", "removals", "additions", "inserts")}
-        before = {k: set(m) for k, m in model.live.items()}
         ids = model.apply([x[0] for x in raw["deletes"]], raw["removals"], raw["additions"], [list(x[0]) for x in raw["inserts"]])
         done = h.commit(b)
         assert [x.h for x in done.inserted.orderBy("seq").collect()] == ids, mix
@@ -145,7 +143,6 @@ def test_chains_of_all_kinds_of_hyperedge_batches(spark, reuse):
         dist, parent = oracles.hyper_paths(sets, weights, 2)
         got = {x.h: (x.distance, x.parent) for x in paths.hyperedges().collect()}
         assert got == {k: (dist.get(k, 2**61 - 1), parent.get(k, -1)) for k in sets}, mix
-        assert before is not None
 
 
 def test_patterns(spark):

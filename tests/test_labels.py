@@ -60,11 +60,11 @@ def numbers(result):
 
 
 def test_labels_follow_a_stream(spark):
-    stream = vertex_arrivals(spark, 60, 4, 3, seed=3, ground_truth_fraction=0.15)
+    stream = vertex_arrivals(spark, 60, 4, 2, seed=3, ground_truth_fraction=0.15)
     graph = stream.graph()
     tau = stream.similarity_threshold
-    damped = labels.compute(graph, update_schedule="damped", similarity_threshold=tau, tolerance=2e-3)
-    in_place = labels.compute(graph, tolerance=2e-3)
+    damped = labels.compute(graph, update_schedule="damped", similarity_threshold=tau, tolerance=5e-3)
+    in_place = labels.compute(graph, tolerance=5e-3)
     assert numbers(damped) == [0.5] * 60
     for b in stream.batches():
         stats = update(graph, b, damped, in_place)
@@ -78,8 +78,8 @@ def test_labels_follow_a_stream(spark):
         got = numbers(result)
         assert all(got[v] == c for v, c in seeds.items())
         assert max(abs(got[v] - want[v]) for v in active) < 0.1
-    fresh = labels.compute(graph, spark.createDataFrame([(v, c) for v, c in seeds.items() if v in active], "id long, label int"), tolerance=1e-5)
-    assert max(abs(numbers(fresh)[v] - want[v]) for v in active) < 2e-3
+    fresh = labels.compute(graph, spark.createDataFrame([(v, c) for v, c in seeds.items() if v in active], "id long, label int"), tolerance=1e-4)
+    assert max(abs(numbers(fresh)[v] - want[v]) for v in active) < 1e-2
     assert fresh.accuracy(stream.true_labels()) > 0.6
     assert stream.row_capacity().agg(F.sum("capacity")).first()[0] == 2 * stream.edges.count()
 

@@ -62,7 +62,7 @@ def test_chains_of_batches(spark, parallel):
         rows = list({r[:2]: r for r in rows}.values())
     g = graph_of(spark, rows, n, Properties(parallel=parallel), k)
     r, levels, paths = sssp.compute(g, 0), bfs.compute(g, 0), mosp.compute(g, 0, preferences=[2, 1])
-    for step in range(3):
+    for _ in range(2):
         inserts, deletes = random_batch(rng, rows, n, k, 4)
         update(g, EdgeBatch.of(spark, inserts, deletes), r, levels, paths)
         rows = upsert(rows, deletes, inserts)
