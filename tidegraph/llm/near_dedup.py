@@ -138,17 +138,21 @@ def bucketed(classes: DataFrame) -> DataFrame:
     return rows.join(full, F.col("key") == F.col("k"), "left_semi")
 
 
-def star_pairs(places: DataFrame, low: int, high: int, hubs: int, percent: int) -> DataFrame:
+def star_pairs(places: DataFrame, low: int, high: int, hubs: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (u, v) of bands ``low`` to ``high``: in each bucket ``hubs`` of its members, drawn anew for each band, and every other.
 
-    Members whose set sizes alone rule the similarity out aren't paired. n rows of a bucket give at most ``hubs`` * (n - 1) pairs, and
-    all of its pairs if n is at most ``hubs`` + 1. Hubs are minima, so they are reduced before the shuffle.
+    Members that ``labels`` (id, component) joins already aren't paired, and a bucket of one component drops out before any pair is made;
+    nor are members whose set sizes alone rule the similarity out. n rows of a bucket give at most ``hubs`` * (n - 1) pairs, and all of
+    its pairs if n is at most ``hubs`` + 1. Hubs are minima, so they are reduced before the shuffle.
     """
-    rows = places.where((F.col("band") >= low) & (F.col("band") < high)).select("rep", "n", "key")
-    drawn = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(j)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{j}") for j in range(hubs)]
-    own = rows.groupBy(F.col("key").alias("k")).agg(*drawn)
-    own = own.select("k", F.explode(F.array_distinct(F.array(*[F.struct(f"h{j}.hub", f"h{j}.hub_n") for j in range(hubs)]))).alias("h")).select("k", "h.hub", "h.hub_n")
-    pairs = rows.join(own, F.col("key") == F.col("k")).where("rep <> hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    rows = places.where((F.col("band") >= low) & (F.col("band") < high)).select("rep", "n", "key", F.col("rep").alias("part"))
+    if labels is not None:
+        rows = rows.drop("part").join(labels, F.col("rep") == F.col("id"), "left").select("rep", "n", "key", F.coalesce("component", "rep").alias("part"))
+    rows = materialize(rows, "near-places")
+    drawn = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(j)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))).alias(f"h{j}") for j in range(hubs)]
+    own = rows.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("first"), F.max("part").alias("last"), *drawn).where("first <> last")
+    own = own.select("k", F.explode(F.array_distinct(F.array(*[F.struct(f"h{j}.hub", f"h{j}.hub_n", f"h{j}.hub_part") for j in range(hubs)]))).alias("h")).select("k", "h.hub", "h.hub_n", "h.hub_part")
+    pairs = rows.join(own, F.col("key") == F.col("k")).where("part <> hub_part").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
     return pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
 
 
@@ -209,11 +213,7 @@ def near_duplicates(
     labels = None
     low = 0
     for high in ends:
-        pairs = star_pairs(places, low, high, hubs if low else 1, percent)
-        if labels is not None:
-            of_u, of_v = (labels.select(F.col("id").alias(f"{c}_id"), F.col("component").alias(f"{c}_c")) for c in "uv")
-            pairs = pairs.join(of_u, F.col("u") == F.col("u_id"), "left").join(of_v, F.col("v") == F.col("v_id"), "left")
-            pairs = pairs.where(F.coalesce("u_c", "u") != F.coalesce("v_c", "v")).select("u", "v")
+        pairs = star_pairs(places, low, high, hubs if low else 1, percent, labels)
         found = materialize(confirmed(pairs, sets, percent), "near-links")
         links = links.unionByName(found)
         labels = materialize(connected_components(links), "near-labels")
