@@ -259,7 +259,7 @@ def merged(pieces: DataFrame, n_groups: int, fan: int = 64) -> DataFrame:
 
 
 def lm_scores(
-    docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 32 << 20, n_buckets: int = 48,
+    docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 16 << 20, n_buckets: int = 48,
 ) -> DataFrame:
     """log10 probabilities of whole texts under a context-tree weighting model and under smoothed word frequencies.
 
