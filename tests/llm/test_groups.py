@@ -57,6 +57,24 @@ def test_near_duplicates_against_all_pairs(documents, width):
         assert r.n_shingles == len(shingles(dict(rows)[r.doc_id], width))
 
 
+def test_near_duplicates_that_share_a_passage_with_thousands(spark):
+    rng = np.random.default_rng(11)
+
+    def own(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+
+    rows, pairs = [], []
+    for p in range(4):
+        passage, first = own(200), len(rows)
+        rows += [(first + i, f"{passage} {own(18)}") for i in range(2)]  # 196 of 232 shingles are the passage's
+        rows += [(len(rows) + i, f"{passage} {own(70 + i % 60)}") for i in range(1500)]
+        pairs.append(first)
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string")
+    joined = {r.doc_id: r.component_id for r in near_duplicates(docs).collect() if not r.kept}
+    assert joined == {first + 1: first for first in pairs}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = {r.doc_id: r for r in near_duplicates(odd).collect()}
     assert got[1].component_id == got[2].component_id == got[3].component_id == 1

@@ -1,4 +1,4 @@
-"""Near-duplicate documents: one-permutation MinHash with optimal densification, banded buckets, star candidates, exact confirmation."""
+"""Near-duplicate documents: one-permutation MinHash with optimal densification, banded buckets, star candidates, prefixes of rare shingles for the rest, exact confirmation."""
 
 from __future__ import annotations
 
@@ -142,8 +142,8 @@ def star_pairs(places: DataFrame, low: int, high: int, hubs: int, percent: int,
     """Distinct pairs (u, v) of bands ``low`` to ``high``: in each bucket ``hubs`` of its members, drawn anew for each band, and every other.
 
     Members that ``labels`` (id, component) joins already aren't paired, and a bucket of one component drops out before any pair is made;
-    nor are members whose set sizes alone rule the similarity out. n rows of a bucket give at most ``hubs`` * (n - 1) pairs, and all of
-    its pairs if n is at most ``hubs`` + 1. Hubs are minima, so they are reduced before the shuffle.
+    nor are members whose set sizes alone rule the similarity out. n rows of a bucket give at most ``hubs`` * (n - 1) pairs;
+    ``prefix_pairs`` finds what they miss. Hubs are minima, so they are reduced before the shuffle.
     """
     rows = places.where((F.col("band") >= low) & (F.col("band") < high)).select("rep", "n", "key", F.col("rep").alias("part"))
     if labels is not None:
@@ -156,6 +156,59 @@ def star_pairs(places: DataFrame, low: int, high: int, hubs: int, percent: int,
     return pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
 
 
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(doc_id, s, n, g): the shingles of each set, with a digest that tells the sets of one id apart and the set's size."""
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            schema = pa.schema([b.schema.field("doc_id"), ("s", pa.int64()), ("n", pa.int64()), ("g", pa.int64())])
+            for i, x in enumerate(b.column("set")):
+                raw = x.as_buffer()
+                g = np.frombuffer(raw, np.int64)
+                yield batch(schema, [b.column("doc_id").take(pa.array(np.full(len(g), i))), np.full(len(g), np.uint64(xxhash.xxh64_intdigest(raw))).view(np.int64), np.full(len(g), len(g)), g])
+
+    return sets.mapInArrow(run, f"doc_id {kind}, s long, n long, g long")
+
+
+def open_members(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep): the members of buckets of three or more that hold several components; stars compare two with each other always."""
+    rows = places.join(labels, F.col("rep") == F.col("id"), "left").select("rep", "key", F.coalesce("component", "rep").alias("part"))
+    several = rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("first"), F.max("part").alias("last")).where("m > 2 AND first <> last").select("k")
+    return places.join(several, F.col("key") == F.col("k"), "left_semi").select("rep").distinct()
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, frequent: int = 64) -> DataFrame:
+    """Distinct pairs (u, v) of different components whose similarities, once confirmed, join all similar members of ``sets``.
+
+    Shingles are ordered by the number of sets that hold them. The first shingle that two similar sets share is then among the first
+    n - ceil(n * percent / 100) + 1 of both. If at most ``frequent`` sets hold it, they are paired by it. Else all that the two share is
+    frequent; let P and Q be the frequent shingles of the two. The smallest sets with exactly P and exactly Q share as much and are no
+    larger, so both are similar to each other and each to the other's partner: it is enough to pair every set with the smallest set of
+    each such class. Thousands that share a passage are one class. Of two components, one is not a shingle's largest: only its members
+    are paired with all others, so that a large component isn't paired with itself.
+    """
+    rows = materialize(shingle_rows(sets), "near-shingles")
+    held = materialize(rows.groupBy(F.col("g").alias("of")).agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-held")
+    often = F.col("df") > frequent
+    both = rows.join(held.where(~often), F.col("g") == F.col("of")).unionByName(rows.join(held.where(often), F.col("g") == F.col("of")))
+    one = both.groupBy("doc_id", "s", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"),
+        F.bit_xor(F.when(often, F.xxhash64("g", F.lit(1)))).alias("c1"), F.bit_xor(F.when(often, F.xxhash64("g", F.lit(2)))).alias("c2"),
+    )
+    length = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")  # those of one set come first
+    one = one.where(length > 0).select("doc_id", "n", "c1", "c2", F.explode(F.slice("shared", F.lit(1), length)).alias("at"))
+    one = one.join(labels, F.col("doc_id") == F.col("id"), "left")
+    at = materialize(one.select(F.col("doc_id").alias("rep"), "n", "c1", "c2", F.col("at.g").alias("g"), F.col("at.df").alias("df"), F.coalesce("component", "doc_id").alias("part")), "near-prefixes")
+    main = at.groupBy("g", "part").count().groupBy(F.col("g").alias("of")).agg(F.max(F.struct("count", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("of", F.col("most.part").alias("main"))
+    mixed = materialize(at.join(main, F.col("g") == F.col("of")).drop("of"), "near-mixed")
+    few = mixed.where(~often & (F.col("part") != F.col("main"))).select("g", "rep", "n", "part")
+    least = mixed.where(often).groupBy("g", "c1", "c2").agg(F.min(F.struct("n", "rep", "part")).alias("x")).select("g", "x.rep", "x.n", "x.part")
+    ends = few.unionByName(least.select("g", "rep", "n", "part")).select(F.col("g").alias("of"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))
+    pairs = mixed.join(ends, F.col("g") == F.col("of")).where("part <> hub_part").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    return pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar: 100 * intersection >= percent * union."""
     left = sets.select(F.col("doc_id").alias("lid"), F.col("set").alias("a"))
@@ -185,9 +238,9 @@ def near_duplicates(
 
     Equal sets are one class first, so copies cost nothing more. Classes are banded by 128 densified bins in bands of ``rows`` (32 bands
     of 4: a pair at 0.8 is missed once in 20 million). A bucket gives stars around ``hubs`` members that differ from band to band (one in
-    the first round, which joins the large groups), so buckets of up to ``hubs`` + 1 classes are compared whole, and two members of a
-    larger one that are like none of its hubs meet again under other hubs. Pairs are confirmed on full sets. Bands come in ``rounds``;
-    pairs whose ends a former round has joined aren't checked again, which changes no component. Nothing is capped or dropped.
+    the first round, which joins the large groups). Pairs are confirmed on full sets. Bands come in ``rounds``; pairs whose ends a former
+    round has joined aren't checked again, which changes no component. Members of buckets that still hold several components are then
+    compared exactly by their rarest shingles (``prefix_pairs``), so no link within a bucket is lost. Nothing is capped or dropped.
 
     Texts are read twice: for signatures, and for the sets of those that have a candidate. Sets travel as sorted 64-bit hashes.
     A null or empty text and one of white space has an empty set and is linked with nothing. Rows that repeat an id are one node. A null
@@ -218,6 +271,11 @@ def near_duplicates(
         links = links.unionByName(found)
         labels = materialize(connected_components(links), "near-labels")
         low = high
+    rest = materialize(open_members(places, labels), "near-open")
+    if not rest.isEmpty():
+        rest = materialize(sets.join(rest, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "set"]), "near-rest")
+        found = materialize(confirmed(prefix_pairs(rest, labels, percent), rest, percent), "near-links")
+        labels = materialize(connected_components(links.unionByName(found)), "near-labels")
     out = marks.join(names, of_class, "left").join(labels, F.col("rep") == F.col("id"), "left")
     alone = F.col("n") == 0
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
