@@ -35,6 +35,7 @@ n AS (SELECT max(p_partkey) AS top FROM part)"""
 
 #: The graph before and after the batch: residue 9 of k arrives, 0 goes, 5 grows by 3, 6 shrinks by 1.
 BEFORE = "g AS (SELECT * FROM e WHERE k % 10 <> 9)"
+WHOLE = "g AS (SELECT * FROM e)"
 AFTER = """g AS (
   SELECT src, dst, CASE k % 10 WHEN 5 THEN w0 + 3 WHEN 6 THEN greatest(w0 - 1, 1) ELSE w0 END AS w0,
          CASE k % 10 WHEN 5 THEN w1 + 3 WHEN 6 THEN greatest(w1 - 1, 1) ELSE w1 END AS w1,

@@ -64,6 +64,12 @@ def sssp_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sssp.compute(graph, SOURCE).tree()
 
 
+@query(f"WITH RECURSIVE {I.EDGES}, {I.WHOLE}, {_paths_sql('g', 'w0', '0')} {_all_parts('t0')}")
+def sssp_compute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, _ = I.part_graph(spark, sf_dir)
+    return sssp.compute(graph, SOURCE).tree()
+
+
 @query(f"WITH RECURSIVE {I.EDGES}, {I.AFTER}, {_paths_sql('g', 'w0', '0')} {_all_parts('t0')}")
 def sssp_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, edges = I.part_graph(spark, sf_dir, where="k % 10 <> 9")
@@ -94,6 +100,12 @@ def mosp_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mosp_rows(mosp.compute(graph, SOURCE, preferences=PREFERENCES))
 
 
+@query(_mosp_sql(I.WHOLE))
+def mosp_compute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, _ = I.part_graph(spark, sf_dir, 3)
+    return _mosp_rows(mosp.compute(graph, SOURCE, preferences=PREFERENCES))
+
+
 @query(_mosp_sql(I.AFTER))
 def mosp_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, edges = I.part_graph(spark, sf_dir, 3, "k % 10 <> 9")
@@ -113,6 +125,12 @@ def dynamic_bfs_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfs.compute(graph, SOURCE).tree()
 
 
+@query(_bfs_sql(I.WHOLE))
+def dynamic_bfs_compute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, _ = I.part_graph(spark, sf_dir)
+    return bfs.compute(graph, SOURCE).tree()
+
+
 @query(_bfs_sql(I.AFTER))
 def dynamic_bfs_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, edges = I.part_graph(spark, sf_dir, where="k % 10 <> 9")
@@ -184,6 +202,15 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(I.part_edges(spark, sf_dir).where("w0 <= 1").select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
+@query(f"""WITH RECURSIVE {I.EDGES}, x AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+c(id, component) USING KEY (id) AS (
+  SELECT DISTINCT src, src FROM x
+  UNION SELECT x.dst, min(f.component) FROM c f JOIN x ON x.src = f.id JOIN recurring.c r ON r.id = x.dst WHERE f.component < r.component GROUP BY x.dst)
+SELECT id, component FROM c""")
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(I.part_edges(spark, sf_dir).select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
 # containers and batches
 
 
