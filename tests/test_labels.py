@@ -123,6 +123,16 @@ def test_halves_are_the_mixing_on_32_bits(spark):
         assert all(r.h == half(r.id, tag) for r in rows)
 
 
+def test_seeds_of_both_classes_and_isolated_vertices(spark):
+    from tidegraph.plans.registry import SIMILAR
+
+    edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.5), (2, 3, 0.25), (5, 6, 1.0)], "src long, dst long, w0 float")
+    seeds = spark.createDataFrame([(0, 0), (3, 1), (7, 1)], "id long, label int")
+    got = numbers(labels.compute(Graph.from_edges(edges, 9, SIMILAR), seeds, tolerance=1e-6))
+    want = harmonic_labels(9, [(r[0], r[1], r[2]) for e in edges.collect() for r in (e, (e[1], e[0], e[2]))], {0: 0, 3: 1, 7: 1})
+    assert np.allclose(got, want, atol=1e-4) and got[0] == 0.0 and got[3] == got[7] == 1.0 and got[4] == got[5] == got[8] == 0.5
+
+
 def test_limits_and_options(spark):
     edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.5)], "src long, dst long, w0 float")
     from tidegraph.plans.registry import SIMILAR

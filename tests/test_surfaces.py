@@ -16,8 +16,8 @@ from tidegraph.streaming import runner, snapshots
 from tidegraph.update import stats_frame
 
 
-def ring(spark, n=6, properties=Properties()):
-    return Graph.from_edges(spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(2).alias("w0")), n, properties)
+def ring(spark, n=6, properties=Properties(), weights=("w0",)):
+    return Graph.from_edges(spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(2).alias("w0")), n, properties, weights)
 
 
 def test_a_stream_of_operations(spark, tmp_path):
@@ -88,13 +88,21 @@ def test_every_kind_of_batch(spark):
 def test_profiles(spark):
     with profile() as p:
         g = ring(spark)
-        r = cycles.compute(ring(spark, 4, Properties.structural()), 4)
+        r = cycles.compute(ring(spark, 4, Properties.structural(), ()), 4)
         stats = cycles.update(r.container, EdgeBatch.of(spark, [(1, 0)]), r)
         assert r.to_dict() == {2: 1, 4: 1} and g.num_active() == 6
     assert {"graph.commit", "cycle_count.update"} <= set(p.totals()) and json.loads(p.to_json())["stages"]
     assert p.to_csv().startswith("stage,seconds,depth\n") and stats_frame(spark, [stats]).count() == 1
 
 
+def test_insertions_carry_the_graph_s_weights(spark):
+    weighted = ring(spark, 4, Properties.structural())
+    with pytest.raises(InvalidArgument):
+        weighted.apply(EdgeBatch.of(spark, [(1, 0)]))
+    assert weighted.apply(EdgeBatch.of(spark, [(1, 0, 3)], [(0, 1)])).inserted_edges == 1
+    assert {(r.src, r.dst): r.w0 for r in weighted.edges.collect()} == {(1, 0): 3, (1, 2): 2, (2, 3): 2, (3, 0): 2}
+
+
 def test_the_command_line(spark, tmp_path, capsys):
     (tmp_path / "g.txt").write_text("0 1 4\n0 2 1\n2 1 2\n1 3 1\n3 0 1\n")
     (tmp_path / "b.dgt").write_text("%dgt 1\n-e 2 1\n+e 2 3 1\n")

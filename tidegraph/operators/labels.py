@@ -42,6 +42,7 @@ def half(vertex: Column, tag: int) -> Column:
 
 
 def _clamped(x: Column) -> Column:
+    """``x`` held in [0, 1]; ``x`` must not be null, since Spark's ``least`` and ``greatest`` skip nulls."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)).cast("float")
 
 
@@ -62,7 +63,7 @@ def harmonic(arcs: DataFrame, state: DataFrame, tolerance: float, max_rounds: in
         step = cur.withColumn("f0", F.col("label"))
         for i in range(n):
             mean = share.join(step.select(F.col("id").alias("dst"), f"f{i}"), "dst").groupBy(F.col("src").alias("s")).agg(F.sum(F.col("p") * F.col(f"f{i}")).alias("mean"))
-            step = step.join(mean, F.col("id") == F.col("s"), "left").withColumn(f"f{i + 1}", F.coalesce(_clamped(F.col("mean")), F.col(f"f{i}"))).drop("s", "mean")
+            step = step.join(mean, F.col("id") == F.col("s"), "left").withColumn(f"f{i + 1}", F.when(F.col("s").isNotNull(), _clamped(F.col("mean"))).otherwise(F.col(f"f{i}"))).drop("s", "mean")
         moves = [F.coalesce(F.max(F.abs(F.col(f"f{i + 1}") - F.col(f"f{i}"))), F.lit(0.0)).alias(f"m{i}") for i in range(n)]
         step, seen = measured(step, "labels", *moves)
         enough = next((i for i in range(n) if seen[f"m{i}"] <= tolerance), None)

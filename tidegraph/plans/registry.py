@@ -412,34 +412,89 @@ def multi_result_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # similarity graphs and labels
 
-_KNN = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+_KNN = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 z AS (SELECT id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y)) AS norm FROM v),
 s AS (
   SELECT a.id AS u, b.id AS v, least(1.0, list_reduce(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]), lambda x, y: x + y) / (a.norm * b.norm)) AS s
   FROM z a JOIN z b ON a.id <> b.id WHERE a.norm > 0 AND b.norm > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY s DESC, v) AS rank FROM s),
-p AS (SELECT least(u, v) AS a, greatest(u, v) AS b, max(s) AS s FROM r WHERE rank <= 5 GROUP BY 1, 2)
-SELECT a AS src, b AS dst, round(CAST(s AS DOUBLE), 4) AS w FROM p WHERE s > 0 UNION ALL SELECT b, a, round(CAST(s AS DOUBLE), 4) FROM p WHERE s > 0"""
+p AS (SELECT least(u, v) AS a, greatest(u, v) AS b, CAST(max(s) AS FLOAT) AS w FROM r WHERE rank <= 5 GROUP BY 1, 2),
+knn AS (SELECT a AS src, b AS dst, w FROM p WHERE w > 0 UNION ALL SELECT b, a, w FROM p WHERE w > 0)"""
 
 
-@query(_KNN)
+@query(f"WITH {_KNN} SELECT src, dst, CAST(w AS DOUBLE) AS w FROM knn")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.similarity(spark, sf_dir).select("src", "dst", F.round(F.col("w").cast("double"), 4).alias("w"))
+    return I.similarity(spark, sf_dir).select("src", "dst", F.col("w").cast("double").alias("w"))
 
 
 SIMILAR = Properties(directed=False, parallel=True, float_weights=True, semantics=Semantics.arrivals())
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KNN},
+vert AS (SELECT i.range AS id, CASE WHEN i.range % 10 = 0 AND label IS NOT NULL THEN label % 2 ELSE -1 END AS seed
+  FROM range((SELECT max(vec_id) + 1 FROM embeddings)) i LEFT JOIN embeddings ON vec_id = i.range),
+total AS (SELECT src, sum(CAST(w AS DOUBLE)) AS total FROM knn JOIN vert ON id = src WHERE seed < 0 GROUP BY src HAVING sum(CAST(w AS DOUBLE)) > 1e-10),
+share AS (SELECT src, dst, CAST(w AS DOUBLE) / total AS p FROM knn JOIN total USING (src)),
+st(r, id, label, moved) AS (
+  SELECT 0, id, CAST(CASE WHEN seed < 0 THEN 0.5 ELSE seed END AS FLOAT), 1.0::DOUBLE FROM vert
+  UNION ALL (
+    WITH mean AS (SELECT src, CAST(greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(p * CAST(label AS DOUBLE)))) AS FLOAT) AS mean FROM share JOIN st ON st.id = dst GROUP BY src)
+    SELECT r + 1, st.id, coalesce(mean, label), max(CAST(abs(coalesce(mean, label) - label) AS DOUBLE)) OVER () FROM st LEFT JOIN mean ON mean.src = st.id WHERE moved > 0.001::DOUBLE))
+SELECT id AS v, round(CAST(label AS DOUBLE), 4) AS label FROM st WHERE r = (SELECT max(r) FROM st)""")
 def label_propagation_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = I.table(spark, sf_dir, "embeddings")
     n = vectors.agg(F.max("vec_id")).first()[0] + 1
     graph = Graph.from_edges(I.similarity(spark, sf_dir).where("src < dst"), n, SIMILAR, ["w"])
     seeds = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"))
-    return labels.compute(graph, seeds, tolerance=1e-3).labels()
-
-
-@query()
+    return labels.compute(graph, seeds, tolerance=1e-3).labels().select("v", F.round(F.col("label").cast("double"), 4).alias("label"))
+
+
+def _arrival_labels_sql(t: int, seeds: str, rows: str) -> str:
+    """CTEs for batch ``t`` of the two: ``e``: live arcs, ``a``: arrived, ``add``: appended arcs, from which first labels ``first``, the rows ``in``
+    before the rounds (``rows`` selects them) and ``st`` after each; ``end``: the state. ``seeds``: (id, seed) of all that have ever arrived."""
+    return f"""th{t} AS (SELECT avg(CAST(w AS DOUBLE)) AS th FROM e{t}),
+strong{t} AS (SELECT src, dst FROM add{t} JOIN th{t} ON w > th WHERE src IN (SELECT id FROM a{t}) AND dst IN (SELECT id FROM a{t})),
+c{t}(id, component) USING KEY (id) AS (
+  SELECT id, id FROM a{t}
+  UNION SELECT x.dst, min(f.component) FROM c{t} f JOIN strong{t} x ON x.src = f.id JOIN recurring.c{t} o ON o.id = x.dst WHERE f.component < o.component GROUP BY x.dst),
+to{t} AS (
+  SELECT c.component, sum(CASE WHEN s.seed = 0 THEN CAST(round_even(CAST(w AS DOUBLE) * 4294967296, 0) AS BIGINT) ELSE 0 END) / 4294967296.0::DOUBLE AS l0,
+         sum(CASE WHEN s.seed = 1 THEN CAST(round_even(CAST(w AS DOUBLE) * 4294967296, 0) AS BIGINT) ELSE 0 END) / 4294967296.0::DOUBLE AS l1
+  FROM add{t} x JOIN c{t} c ON c.id = x.src JOIN {seeds} s ON s.id = x.dst AND s.seed >= 0 GROUP BY 1),
+first{t} AS (SELECT a.id, a.seed, CAST(CASE WHEN a.seed >= 0 THEN a.seed WHEN l0 + l1 > 1e-10 THEN l1 / (l0 + l1) ELSE 0.5 END AS FLOAT) AS label
+  FROM a{t} a JOIN c{t} c ON c.id = a.id LEFT JOIN to{t} w ON w.component = c.component),
+in{t} AS ({rows}),
+st{t}(r, id, label, seed, active, front, n) AS (
+  SELECT 0, id, label, seed, active, front, sum(CAST(front AS INTEGER)) OVER () FROM in{t}
+  UNION ALL (
+    WITH mean AS (
+      SELECT f.id, sum(CAST(x.w AS DOUBLE)) AS ww, sum(CAST(x.w AS DOUBLE) * CAST(o.label AS DOUBLE)) AS wx FROM st{t} f JOIN e{t} x ON x.src = f.id JOIN st{t} o ON o.id = x.dst WHERE f.front GROUP BY f.id),
+    step AS (
+      SELECT s.*, CASE WHEN m.id IS NULL THEN s.label ELSE CAST(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+        (CAST(s.label AS DOUBLE) + CASE WHEN ww > 1e-10 THEN wx / ww ELSE CAST(s.label AS DOUBLE) END) / 2)) AS FLOAT) END AS now
+      FROM st{t} s LEFT JOIN mean m ON m.id = s.id WHERE s.n > 0),
+    moved AS (SELECT id FROM step WHERE front AND CAST(abs(now - label) AS DOUBLE) > 0.01::DOUBLE),
+    wake AS (SELECT id FROM moved UNION SELECT x.dst FROM moved JOIN e{t} x ON x.src = moved.id),
+    nxt AS (SELECT r + 1 AS r, id, now, seed, active, active AND seed < 0 AND id IN (SELECT id FROM wake) AS front FROM step)
+    SELECT *, sum(CAST(front AS INTEGER)) OVER () FROM nxt)),
+end{t} AS (SELECT id, CASE WHEN seed >= 0 THEN CAST(seed AS FLOAT) ELSE label END AS label, seed, active FROM st{t} WHERE r = (SELECT max(r) FROM st{t}))"""
+
+
+_SECOND_ARRIVALS = """SELECT id, label, seed, id NOT IN (SELECT id FROM gone) AS active, seed < 0 AND id NOT IN (SELECT id FROM gone) AND id IN (SELECT id FROM touched1) AS front FROM end0
+  UNION ALL SELECT id, label, seed, true, seed < 0 FROM first1"""
+
+
+@query(f"""WITH RECURSIVE {_KNN}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+vert AS (SELECT range AS id, CASE WHEN range % 10 = 0 THEN CAST(range % 20 / 10 AS INTEGER) ELSE -1 END AS seed, range % 2 AS b FROM range((SELECT n FROM n))),
+a0 AS (SELECT id, seed FROM vert WHERE b = 0), a1 AS (SELECT id, seed FROM vert WHERE b = 1),
+gone AS (SELECT id FROM vert WHERE b = 0 AND id % 37 = 0),
+add0 AS (SELECT * FROM knn WHERE src % 2 = 0 AND dst % 2 = 0), e0 AS (SELECT * FROM add0),
+add1 AS (SELECT * FROM knn WHERE (src % 2 = 1 OR dst % 2 = 1) AND src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)),
+e1 AS (SELECT * FROM e0 WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) UNION ALL SELECT * FROM add1),
+{_arrival_labels_sql(0, 'a0', 'SELECT id, label, seed, true AS active, seed < 0 AS front FROM first0')},
+touched1 AS (SELECT dst AS id FROM e0 WHERE src IN (SELECT id FROM gone) UNION SELECT id FROM a1 UNION SELECT src FROM add1),
+{_arrival_labels_sql(1, 'vert', _SECOND_ARRIVALS)}
+SELECT vert.id AS v, round(CAST(coalesce(label, 0.5) AS DOUBLE), 4) AS label FROM vert LEFT JOIN end1 ON end1.id = vert.id""")
 def label_propagation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = I.table(spark, sf_dir, "embeddings")
     n = vectors.agg(F.max("vec_id")).first()[0] + 1
@@ -447,7 +502,7 @@ def label_propagation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = labels.compute(graph, update_schedule="damped", tolerance=1e-2)
     for b in arrival_batches(I.similarity(spark, sf_dir).where("src < dst").withColumnRenamed("w", "w0"), n, 2):
         labels.update(graph, b, result)
-    return result.labels()
+    return result.labels().select("v", F.round(F.col("label").cast("double"), 4).alias("label"))
 
 
 # views, deltas and generators
