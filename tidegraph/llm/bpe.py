@@ -45,9 +45,11 @@ class Odd(Exception):
 
 
 class _Cache(dict):
+    """Unit to value, bounded by ``most`` bytes; a full cache starts again from ``seed``."""
+
     def __init__(self, coder: Coder, make, seed: dict, most: int):
         super().__init__(seed)
-        self.coder, self.make, self.seed, self.most = coder, make, seed, most
+        self.coder, self.make, self.seed, self.most, self.used = coder, make, seed, most, 0
 
     def __missing__(self, unit: str):
         line = unit[:1] == "\n"
@@ -55,10 +57,12 @@ class _Cache(dict):
         if not body or body[0].isspace() or body[-1].isspace():
             raise Odd
         value = self.make(self.coder.ids(body if line else " " + body), line)
-        if len(self) >= self.most:  # bounded: start again from the frequent ones
-            self.clear()
-            self.update(self.seed)
         if len(unit) < 200:
+            self.used += 200 + len(unit) + (len(value) if isinstance(value, bytes) else 0)  # with an entry's share of the table
+            if self.used > self.most:
+                self.clear()
+                self.update(self.seed)
+                self.used = 0
             self[unit] = value
         return value
 
@@ -85,7 +89,7 @@ def units(text: str) -> list[str]:
 class Counts:
     """Token counts of texts. ``frequent``: unit to count, the first tier; the worker's own cache is the second."""
 
-    def __init__(self, path: str, frequent: dict[str, int] | None = None, most: int = 400_000):
+    def __init__(self, path: str, frequent: dict[str, int] | None = None, most: int = 32 << 20):
         self.coder = Coder(path)
         self.get = _Cache(self.coder, lambda ids, line: len(ids) + line, frequent or {}, most).__getitem__
 
@@ -103,7 +107,7 @@ class Counts:
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 32 << 20):
         self.coder = Coder(path)
         self.get = _Cache(self.coder, lambda ids, line: (LINE if line else b"") + array("I", ids).tobytes(), {}, most).__getitem__
 

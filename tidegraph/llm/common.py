@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,37 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     )
 
 
+def strings(arr: pa.Array, step: int = 4 << 20) -> Iterator[str | None]:
+    """The strings of ``arr``, made a few MB at a time, so that a batch of long texts isn't held twice."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(arr):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+        yield from arr.slice(at, to - at).to_pylist()
+        at = to
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_lists(raw: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text (what ASCII white space separates) in lists from about ``step`` bytes each, so that a very long text isn't held as words at once."""
+    at = 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + step) if at + step < len(raw) else None
+        to = cut.start() if cut else len(raw)
+        yield raw[at:to].split()
+        at = to
+
+
+def spare(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def groups(n_rows: int, per_group: int, least: int = 1) -> int:
     """How many hash groups hold ``n_rows`` at about ``per_group`` each."""
     return max(least, -(-int(n_rows) // per_group))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch
+from tidegraph.llm.common import batch, strings
 
 CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 WINDOW = 7
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for b in batches:
             schema = pa.schema([b.schema.field("doc_id"), ("fingerprint", pa.string())])
-            yield batch(schema, [b.column("doc_id"), [show(signature(t.encode())) for t in b.column("text").to_pylist()]])
+            yield batch(schema, [b.column("doc_id"), [show(signature(t.encode())) for t in strings(b.column("text"))]])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
@@ -170,7 +170,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 [b.schema.field("doc_id"), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
             )
             out = []
-            for doc, text, part, ahead in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("part").to_pylist(), b.column("ahead").to_pylist()):
+            for doc, text, part, ahead in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), b.column("part").to_pylist(), b.column("ahead").to_pylist()):
                 own = signature(text.encode())
                 if held is not None and held[2] == part:
                     raw = edited(held[1], text).encode()

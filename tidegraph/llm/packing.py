@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.bpe import Ids, vocabulary
-from tidegraph.llm.common import batch, groups, materialize, texts
+from tidegraph.llm.common import batch, groups, materialize, strings, texts
 from tidegraph.llm.sharding import ranked
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence (largest first), and how many such sequences
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, cap: int, vocab: str, end_id: int) -> DataFrame:
         for b in batches:
             schema = schema or pa.schema([b.schema.field("doc_id"), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
             row, nth, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
+            for i, text in enumerate(strings(b.column("text"))):
                 raw = ids(text) + end
                 n = len(raw) // 4
                 edges = [0, *range(n % cap or cap, n + 1, cap)]
