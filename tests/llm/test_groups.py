@@ -40,7 +40,7 @@ def groups_of(rows, width):
     for k, (i, s) in enumerate(sets):
         for g in s if i is not None else ():
             where.setdefault(g, []).append(k)
-    pairs = Counter((a, b) for m in where.values() if len(m) < 400 for x, a in enumerate(m) for b in m[x + 1 :])
+    pairs = Counter((a, b) for m in where.values() for x, a in enumerate(m) for b in m[x + 1 :])
     for (a, b), n in pairs.items():
         if 100 * n >= 80 * (len(sets[a][1]) + len(sets[b][1]) - n):
             x, y = sorted((root(sets[a][0]), root(sets[b][0])))
@@ -75,6 +75,39 @@ def test_near_duplicates_that_share_a_passage_with_thousands(spark):
     assert joined == {first + 1: first for first in pairs}
 
 
+def test_near_duplicates_in_a_template(spark):
+    """Every document shares 88 words, which alone make no link; pairs share 4 words more, which does."""
+    rng = np.random.default_rng(5)
+
+    def own(n):
+        return [f"w{x}" for x in rng.integers(0, 10**9, n)]
+
+    template, rows = own(88), []
+    for p in range(2000):
+        both = own(4)
+        rows += [(2 * p + i, " ".join([*template, *both, *own(7)])) for i in range(2)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string")
+    joined = {r.doc_id: r.component_id for r in near_duplicates(docs, width=2).collect() if not r.kept}
+    assert joined == {2 * p + 1: 2 * p for p in range(2000)}
+
+
+def test_near_duplicates_in_a_group_of_changed_copies(spark):
+    """Copies with words exchanged at random: some links, many near misses, all shingles frequent."""
+    rng = np.random.default_rng(9)
+    base = [f"b{x}" for x in range(90)]
+    rows = []
+    for i in range(700):
+        words_ = list(base)
+        for at in rng.choice(90, int(rng.integers(0, 12)), replace=False):
+            words_[at] = f"e{rng.integers(0, 5)}"
+        rows.append((i, " ".join(words_)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups_of(rows, 2)
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, width=2).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = {r.doc_id: r for r in near_duplicates(odd).collect()}
     assert got[1].component_id == got[2].component_id == got[3].component_id == 1

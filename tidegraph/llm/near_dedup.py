@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch, materialize
+from tidegraph.llm.common import batch, materialize, spare, strings, word_lists
 from tidegraph.operators.components import connected_components
 
 BINS = 128
@@ -29,13 +32,17 @@ PROBES = np.random.default_rng(42).integers(0, BINS, (BINS, 2048))
 
 
 class _Words(dict):
-    """64-bit hashes of words; bounded."""
+    """64-bit hashes of words, kept while they take less than 16 MB."""
+
+    used = 0
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(word) < 64:
-            if len(self) >= 300_000:
+            self.used += 180 + len(word)
+            if self.used > 16 << 20:
                 self.clear()
+                self.used = 0
             self[word] = h
         return h
 
@@ -50,11 +57,10 @@ class Shingler:
         self.width, self.get = width, _Words().__getitem__
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        n = len(words)
+        h = np.concatenate([np.zeros(0, np.uint64), *[np.fromiter(map(self.get, w), np.uint64, len(w)) for w in word_lists(text.encode().lower())]])
+        n = len(h)
         if not n:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.get, words), np.uint64, n)
+            return h
         k = min(self.width, n)
         out = h[: n - k + 1].copy()
         for j in range(1, k):
@@ -106,7 +112,7 @@ def signed(docs: DataFrame, width: int, rows: int) -> DataFrame:
         for b in batches:
             schema = pa.schema([b.schema.field("doc_id"), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
             n, d, keys = [], [], []
-            for text in b.column("text").to_pylist():
+            for text in strings(b.column("text")):
                 s = shingle(text)
                 n.append(len(s))
                 d.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
@@ -126,33 +132,37 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         shingle = Shingler(width)
         for b in batches:
             schema = pa.schema([b.schema.field("doc_id"), ("set", pa.binary())])
-            yield batch(schema, [b.column("doc_id"), [shingle(t).tobytes() for t in b.column("text").to_pylist()]])
+            yield batch(schema, [b.column("doc_id"), [shingle(t).tobytes() for t in strings(b.column("text"))]])
 
     return docs.mapInArrow(run, f"doc_id {kind}, set binary")
 
 
-def bucketed(classes: DataFrame) -> DataFrame:
-    """(rep, n, band, key): the places of classes in buckets that hold two or more."""
-    rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    full = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"))
-    return rows.join(full, F.col("key") == F.col("k"), "left_semi")
+def buckets(classes: DataFrame) -> DataFrame:
+    """(rep, n, key, m): the places of classes in buckets of m >= 2 of them."""
+    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
+    full = rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return rows.join(full, F.col("key") == F.col("k")).drop("k")
 
 
-def star_pairs(places: DataFrame, low: int, high: int, hubs: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (u, v) of bands ``low`` to ``high``: in each bucket ``hubs`` of its members, drawn anew for each band, and every other.
+def stars(places: DataFrame) -> DataFrame:
+    """(rep, n, hub, hub_n): each member of a bucket with the bucket's hub, the member that meets most others in all its buckets.
 
-    Members that ``labels`` (id, component) joins already aren't paired, and a bucket of one component drops out before any pair is made;
-    nor are members whose set sizes alone rule the similarity out. n rows of a bucket give at most ``hubs`` * (n - 1) pairs;
-    ``prefix_pairs`` finds what they miss. Hubs are minima, so they are reduced before the shuffle.
+    In a group of near copies that is one of the least changed, for all bands alike, so it is similar to as many as can be. Hubs are maxima, reduced
+    before the shuffle: a bucket with a third of all rows is one row from each task, and makes as many pairs as it has members.
     """
-    rows = places.where((F.col("band") >= low) & (F.col("band") < high)).select("rep", "n", "key", F.col("rep").alias("part"))
-    if labels is not None:
-        rows = rows.drop("part").join(labels, F.col("rep") == F.col("id"), "left").select("rep", "n", "key", F.coalesce("component", "rep").alias("part"))
-    rows = materialize(rows, "near-places")
-    drawn = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(j)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))).alias(f"h{j}") for j in range(hubs)]
-    own = rows.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("first"), F.max("part").alias("last"), *drawn).where("first <> last")
-    own = own.select("k", F.explode(F.array_distinct(F.array(*[F.struct(f"h{j}.hub", f"h{j}.hub_n", f"h{j}.hub_part") for j in range(hubs)]))).alias("h")).select("k", "h.hub", "h.hub_n", "h.hub_part")
-    pairs = rows.join(own, F.col("key") == F.col("k")).where("part <> hub_part").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    met = places.groupBy(F.col("rep").alias("r")).agg(F.sum("m").alias("met"))
+    rank = F.struct("met", F.xxhash64("rep").alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
+    own = places.join(met, F.col("rep") == F.col("r")).groupBy(F.col("key").alias("k")).agg(F.max(rank).alias("h")).select("k", "h.hub", "h.hub_n")
+    return places.join(own, F.col("key") == F.col("k")).where("rep <> hub").select("rep", "n", "hub", "hub_n")
+
+
+def alike_in_size(percent: int) -> Column:
+    """Whether the sizes of two sets alone allow the similarity."""
+    return F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(u, v), u < v, each pair of (rep, hub) once."""
     return pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
 
 
@@ -172,41 +182,107 @@ def shingle_rows(sets: DataFrame) -> DataFrame:
 
 
 def open_members(places: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep): the members of buckets of three or more that hold several components; stars compare two with each other always."""
-    rows = places.join(labels, F.col("rep") == F.col("id"), "left").select("rep", "key", F.coalesce("component", "rep").alias("part"))
-    several = rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("first"), F.max("part").alias("last")).where("m > 2 AND first <> last").select("k")
-    return places.join(several, F.col("key") == F.col("k"), "left_semi").select("rep").distinct()
+    """(rep, part): the members of buckets of three or more that still hold several components, with theirs; stars compare two with each other
+    always."""
+    part = labels.select(F.col("id").alias("i"), "component")
+    rows = places.where("m > 2").select("rep", "key").join(part, F.col("rep") == F.col("i"), "left").select("rep", "key", F.coalesce("component", "rep").alias("part"))
+    several = rows.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("k")
+    return rows.join(several, F.col("key") == F.col("k"), "left_semi").select("rep", "part").distinct()
 
 
-def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, frequent: int = 64) -> DataFrame:
-    """Distinct pairs (u, v) of different components whose similarities, once confirmed, join all similar members of ``sets``.
+def prefixes(sets: DataFrame, parts: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """(rep, n, part, g, df, often): for each of ``sets`` the shingles by which it can meet a similar set; ``parts``: (rep, part).
 
     Shingles are ordered by the number of sets that hold them. The first shingle that two similar sets share is then among the first
-    n - ceil(n * percent / 100) + 1 of both. If at most ``frequent`` sets hold it, they are paired by it. Else all that the two share is
-    frequent; let P and Q be the frequent shingles of the two. The smallest sets with exactly P and exactly Q share as much and are no
-    larger, so both are similar to each other and each to the other's partner: it is enough to pair every set with the smallest set of
-    each such class. Thousands that share a passage are one class. Of two components, one is not a shingle's largest: only its members
-    are paired with all others, so that a large component isn't paired with itself.
+    n - ceil(n * percent / 100) + 1 of both, and those of one set alone come first. ``often``: the set's shingles that more than ``frequent`` sets hold.
     """
     rows = materialize(shingle_rows(sets), "near-shingles")
     held = materialize(rows.groupBy(F.col("g").alias("of")).agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-held")
-    often = F.col("df") > frequent
-    both = rows.join(held.where(~often), F.col("g") == F.col("of")).unionByName(rows.join(held.where(often), F.col("g") == F.col("of")))
-    one = both.groupBy("doc_id", "s", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"),
-        F.bit_xor(F.when(often, F.xxhash64("g", F.lit(1)))).alias("c1"), F.bit_xor(F.when(often, F.xxhash64("g", F.lit(2)))).alias("c2"),
-    )
-    length = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")  # those of one set come first
-    one = one.where(length > 0).select("doc_id", "n", "c1", "c2", F.explode(F.slice("shared", F.lit(1), length)).alias("at"))
-    one = one.join(labels, F.col("doc_id") == F.col("id"), "left")
-    at = materialize(one.select(F.col("doc_id").alias("rep"), "n", "c1", "c2", F.col("at.g").alias("g"), F.col("at.df").alias("df"), F.coalesce("component", "doc_id").alias("part")), "near-prefixes")
-    main = at.groupBy("g", "part").count().groupBy(F.col("g").alias("of")).agg(F.max(F.struct("count", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("of", F.col("most.part").alias("main"))
-    mixed = materialize(at.join(main, F.col("g") == F.col("of")).drop("of"), "near-mixed")
-    few = mixed.where(~often & (F.col("part") != F.col("main"))).select("g", "rep", "n", "part")
-    least = mixed.where(often).groupBy("g", "c1", "c2").agg(F.min(F.struct("n", "rep", "part")).alias("x")).select("g", "x.rep", "x.n", "x.part")
-    ends = few.unionByName(least.select("g", "rep", "n", "part")).select(F.col("g").alias("of"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))
-    pairs = mixed.join(ends, F.col("g") == F.col("of")).where("part <> hub_part").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-    return pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
+    many = F.col("df") > frequent
+    both = rows.join(held.where(~many), F.col("g") == F.col("of")).unionByName(rows.join(held.where(many), F.col("g") == F.col("of")))
+    one = both.groupBy("doc_id", "s", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"))
+    length = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
+    often = F.transform(F.filter("shared", lambda x: x.df > frequent), lambda x: x.g)
+    one = one.where(length > 0).select("doc_id", "n", often.alias("often"), F.explode(F.slice("shared", F.lit(1), length)).alias("at")).join(parts, F.col("doc_id") == F.col("rep"))
+    at = one.select("rep", "n", "part", F.col("at.g").alias("g"), F.col("at.df").alias("df"), F.when(F.col("at.df") > frequent, F.col("often")).alias("often"))
+    at = materialize(at, "near-prefixes")
+    several = at.groupBy(F.col("g").alias("of")).agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("of")
+    return at.join(several, F.col("g") == F.col("of"), "left_semi")
+
+
+def rare_pairs(at: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share one of their rare shingles: at most ``frequent`` partners for each."""
+    few = at.where(F.col("df") <= frequent).select("rep", "n", "g", "part")
+    other = few.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("g").alias("of"), F.col("part").alias("hub_part"))
+    return ends(few.join(other, (F.col("g") == F.col("of")) & (F.col("rep") < F.col("hub"))).where("part <> hub_part").where(alike_in_size(percent)))
+
+
+def frequent_links(at: DataFrame, percent: int, frequent: int, block: int = 256) -> DataFrame:
+    """Links (u, v) between different components for similar sets that share no rare shingle, so that frequent ones make up all they share.
+
+    Sets that meet in a frequent shingle are dealt to blocks of about ``block``, and blocks are compared as matrices in a task. Two blocks
+    of the shingle's largest component aren't compared. A task passes on no more links than join its sets, not all pairs.
+    """
+    rows = at.where(F.col("df") > frequent).select("rep", "n", "part", "g", "often")
+    sizes = materialize(rows.groupBy("g", "part").count(), "near-parts")
+    main = sizes.groupBy(F.col("g").alias("of")).agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("m")).select("of", F.col("most.part").alias("main"), (F.floor(F.col("m") / block) + 1).alias("blocks"))
+    dealt = rows.join(main, F.col("g") == F.col("of")).select("rep", "n", "part", "g", "often", (F.col("part") == F.col("main")).alias("main"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
+    kind = at.schema["rep"].dataType.simpleString()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = np.concatenate([np.asarray(x, np.int64) for x in pdf["often"]])
+        at_, code = np.unique(codes, return_inverse=True)
+        raw = pickle.dumps((pdf["rep"].tolist(), pdf["part"].tolist(), pdf["n"].to_numpy(np.int64), np.array([len(x) for x in pdf["often"]]), at_, code.astype(np.int32)))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "main": [pdf["main"].iloc[0]], "block": [pdf["block"].iloc[0]], "sets": [zstandard.compress(raw, 1)]})
+
+    packed = materialize(dealt.groupBy("g", "main", "block").applyInPandas(pack, "g long, main boolean, block long, sets binary"), "near-blocks")
+    left = packed.where("NOT main").select(F.col("g").alias("of"), F.col("block").alias("i"), F.col("sets").alias("own"))
+    met = left.join(packed, (F.col("g") == F.col("of")) & (F.col("main") | (F.col("i") <= F.col("block")))).select("own", "sets")
+    schema = pa.schema([("u", _arrow(kind)), ("v", _arrow(kind))])
+
+    def compare(batches):
+        for b in batches:
+            for own, sets in zip(b.column("own"), b.column("sets")):
+                (ids, part, n, m, of), (ids2, part2, n2, m2, of2) = (_matrix(x.as_py()) for x in (own, sets))
+                both, inv = np.unique(np.concatenate([of, of2]), return_inverse=True)
+                a = np.zeros((len(ids), len(both)), np.float32)
+                c = np.zeros((len(ids2), len(both)), np.float32)
+                a[:, inv[: len(of)]], c[:, inv[len(of) :]] = m, m2
+                shared = (a @ c.T).astype(np.int64)
+                u, v = np.nonzero(100 * shared >= percent * (n[:, None] + n2[None, :] - shared))
+                up: dict = {}
+
+                def root(x):
+                    while up.setdefault(x, x) != x:
+                        up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                found = []
+                for i, j in zip(u.tolist(), v.tolist()):
+                    x, y = root(part[i]), root(part2[j])
+                    if x != y:
+                        up[x] = y
+                        found.append((ids[i], ids2[j]))
+                if found:
+                    yield batch(schema, list(zip(*found)))
+
+    return met.repartition(F.xxhash64("own", "sets")).mapInArrow(compare, f"u {kind}, v {kind}")
+
+
+def _matrix(packed: bytes) -> tuple:
+    """Ids, components, sizes, 0/1 rows and the shingles of their columns."""
+    ids, part, n, sizes, of, code = pickle.loads(zstandard.decompress(packed))
+    m = np.zeros((len(ids), len(of)), np.float32)
+    m[np.repeat(np.arange(len(ids)), sizes), code] = 1
+    return ids, part, n, m, of
+
+
+def _arrow(kind: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,16 +307,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, ", ".join(kinds))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 4, rounds: tuple[int, ...] = (2, 8, 32), hubs: int = 4,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 4, frequent: int = 64) -> DataFrame:
     """Components of documents linked by shingle sets with Jaccard similarity of ``percent`` / 100 or more.
 
     Equal sets are one class first, so copies cost nothing more. Classes are banded by 128 densified bins in bands of ``rows`` (32 bands
-    of 4: a pair at 0.8 is missed once in 20 million). A bucket gives stars around ``hubs`` members that differ from band to band (one in
-    the first round, which joins the large groups). Pairs are confirmed on full sets. Bands come in ``rounds``; pairs whose ends a former
-    round has joined aren't checked again, which changes no component. Members of buckets that still hold several components are then
-    compared exactly by their rarest shingles (``prefix_pairs``), so no link within a bucket is lost. Nothing is capped or dropped.
+    of 4: a pair at 0.8 shares no bucket once in 20 million). A bucket makes a star around its hub, and pairs are confirmed on full sets;
+    this joins the large groups with as many pairs as members. Members of buckets that still hold several components are then compared by
+    their rarest shingles (``prefixes``), an exact filter: in pairs, where at most ``frequent`` sets hold the shingle, else in blocks inside
+    tasks. Two similar sets that share a bucket are always joined.
 
     Texts are read twice: for signatures, and for the sets of those that have a candidate. Sets travel as sorted 64-bit hashes.
     A null or empty text and one of white space has an empty set and is linked with nothing. Rows that repeat an id are one node. A null
@@ -252,30 +326,21 @@ def near_duplicates(
     marks = materialize(signed(src, width, rows), "near-signatures")
     linked = marks.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
-    bands = BINS // rows
-    ends = sorted({min(r, bands) for r in rounds} | {bands})
-    places = materialize(bucketed(classes), "near-buckets")
-    ids = materialize(places.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
-    sets = materialize(shingle_sets(src.join(ids, "doc_id", "left_semi"), width), "near-sets")
+    places = materialize(buckets(classes), "near-buckets")
+    ids = materialize(places.select(F.col("rep").alias("i")).distinct(), "near-ids")  # its size is known before the join
+    sets = materialize(shingle_sets(src.join(ids, F.col("doc_id") == F.col("i"), "left_semi"), width), "near-sets")
     names = classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
     of_class = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
-    digest = F.struct("d1", "d2")
-    several = linked.groupBy(F.col("doc_id").alias("s")).agg(F.min(digest).alias("x"), F.max(digest).alias("y")).where("x <> y").select("s")
-    own = linked.join(materialize(several, "near-repeats"), F.col("doc_id") == F.col("s"), "left_semi").join(names, of_class)
-    links = materialize(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct(), "near-links")  # one id, several sets
-    labels = None
-    low = 0
-    for high in ends:
-        pairs = star_pairs(places, low, high, hubs if low else 1, percent, labels)
-        found = materialize(confirmed(pairs, sets, percent), "near-links")
-        links = links.unionByName(found)
-        labels = materialize(connected_components(links), "near-labels")
-        low = high
+    several = linked.groupBy(F.col("doc_id").alias("s")).agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("s")
+    own = linked.join(several, F.col("doc_id") == F.col("s"), "left_semi").join(names, of_class)  # one id, several sets
+    links = confirmed(ends(stars(places).where(alike_in_size(percent))), sets, percent)
+    labels = materialize(connected_components(links.unionByName(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))), "near-labels")
     rest = materialize(open_members(places, labels), "near-open")
     if not rest.isEmpty():
-        rest = materialize(sets.join(rest, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "set"]), "near-rest")
-        found = materialize(confirmed(prefix_pairs(rest, labels, percent), rest, percent), "near-links")
-        labels = materialize(connected_components(links.unionByName(found)), "near-labels")
+        open_sets = sets.join(rest.select(F.col("rep").alias("i")), F.col("doc_id") == F.col("i"), "left_semi").dropDuplicates(["doc_id", "set"])
+        at = prefixes(open_sets, rest, percent, frequent)
+        found = confirmed(rare_pairs(at, percent, frequent), sets, percent).unionByName(frequent_links(at, percent, frequent))
+        labels = materialize(connected_components(found.unionByName(labels.select(F.col("id").alias("u"), F.col("component").alias("v")))), "near-labels")
     out = marks.join(names, of_class, "left").join(labels, F.col("rep") == F.col("id"), "left")
     alone = F.col("n") == 0
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
@@ -289,14 +354,17 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stays. Rows with a null id and those without words stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"), "near-repeats")
+    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "near-gone")
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    twice = materialize(several, "near-repeats")
+    own, nth = (spare(n, docs) for n in ("own", "nth"))
+    named = lambda ids: ids.select(F.col("id").alias(own))
+    left = docs.join(named(gone), F.col(id_col) == F.col(own), "left_anti")
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col(id_col) == F.col("_twice"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    more = left.join(twice, F.col(id_col) == F.col("_twice"), "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    once = left.join(named(twice), F.col(id_col) == F.col(own), "left_anti")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    more = left.join(named(twice), F.col(id_col) == F.col(own), "left_semi").withColumn(nth, rank).where(F.col(nth) == 1).drop(nth)
     return once.unionByName(more)
 
 
