@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import groups, materialize
+from tidegraph.store import counted
 
 NEAR = 64  # nearest earlier vectors from which links are chosen
 
@@ -42,21 +43,68 @@ def _chosen(vectors: np.ndarray, own: np.ndarray, cand: np.ndarray, most: int) -
     return out.astype(np.int32)
 
 
-def layer(vectors: np.ndarray, links: int, step: int = 256) -> np.ndarray:
-    """Neighbour array (n x links) of one layer. Vectors are inserted in order, each linked to chosen ones among those before it.
+def walk(x: np.ndarray, table: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search in one layer from ``entry`` (positions, -1: none): the ``beam`` best positions met for each query and their products.
 
-    Inside a shard those before are compared exactly, in blocks, where the usual insertion searches the graph so far. Links are mutual;
-    a row that overflows chooses again.
+    ``wide`` open nodes of each query are taken at once, and all queries step together. It ends where no open node is left in the beam.
+    """
+    q, n = len(queries), len(x)
+    seen = np.zeros((q, n + 1), bool)
+    ids = np.full((q, beam), -1, np.int64)
+    sims = np.full((q, beam), -np.inf, np.float32)
+    k = min(beam, entry.shape[1])
+    ids[:, :k] = entry[:, :k]
+    sims[:, :k] = np.where(ids[:, :k] >= 0, np.einsum("nkd,nd->nk", x[np.maximum(ids[:, :k], 0)], queries), -np.inf)
+    seen[np.arange(q)[:, None], ids[:, :k]] = True
+    open_ = ids >= 0
+    live = np.arange(q)
+    while len(live):
+        best = np.where(open_[live], sims[live], -np.inf)
+        pick = np.argpartition(-best, min(wide, beam) - 1, axis=1)[:, :wide]
+        good = np.isfinite(np.take_along_axis(best, pick, 1))
+        keep = good.any(1)
+        live, pick, good = live[keep], pick[keep], good[keep]
+        if not len(live):
+            break
+        open_[live[:, None], pick] &= ~good
+        nodes = np.where(good, ids[live[:, None], pick], -1)
+        near = np.where(nodes[:, :, None] >= 0, table[np.maximum(nodes, 0)], -1).reshape(len(live), -1)
+        near = np.where(seen[live[:, None], near], -1, near)
+        near.sort(axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        seen[live[:, None], near] = True
+        seen[:, n] = False
+        row, col = np.nonzero(near >= 0)
+        s = np.full(near.shape, -np.inf, np.float32)
+        s[row, col] = np.einsum("nd,nd->n", x[near[row, col]], queries[live[row]])
+        all_s = np.concatenate([sims[live], s], 1)
+        all_i = np.concatenate([ids[live], near], 1)
+        all_o = np.concatenate([open_[live], near >= 0], 1)
+        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+        sims[live], ids[live], open_[live] = (np.take_along_axis(a, top, 1) for a in (all_s, all_i, all_o))
+    return ids, sims
+
+
+def layer(vectors: np.ndarray, links: int, entry: np.ndarray, step: int = 256) -> np.ndarray:
+    """Neighbour array (n x links) of one layer. Vectors are inserted in order, ``step`` at a time: a search of the graph so far, from ``entry``
+    (positions that the layer above found for each) and the first vector, gives each its ``NEAR`` nearest; those of its own step are compared
+    with it. Links go to chosen ones of these and are mutual; a row that overflows chooses again.
     """
     n = len(vectors)
     table = np.full((n, links), -1, np.int32)
     for at in range(0, n, step):
         rows = np.arange(at, min(n, at + step))
-        sims = vectors[rows] @ vectors[: rows[-1] + 1].T
-        sims[np.arange(rows[-1] + 1)[None, :] >= rows[:, None]] = -np.inf
-        k = min(NEAR, sims.shape[1])
-        cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        cand = np.where(np.isfinite(np.take_along_axis(sims, cand, 1)), cand, -1)
+        sims = vectors[rows] @ vectors[rows].T
+        sims[np.arange(len(rows))[None, :] >= np.arange(len(rows))[:, None]] = -np.inf
+        cand = np.where(np.isfinite(sims), rows[None, :], -1)
+        if at:
+            begin = np.column_stack([np.zeros(len(rows), np.int64), np.where(entry[rows] < at, entry[rows], -1)])
+            begin[:, 1:][begin[:, 1:] == 0] = -1
+            found, near = walk(vectors[:at], table[:at], vectors[rows], begin, NEAR, 4)
+            sims, cand = np.concatenate([near, sims], 1), np.concatenate([found, cand], 1)
+        k = min(NEAR, cand.shape[1])
+        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        cand = np.where(np.isfinite(np.take_along_axis(sims, best, 1)), np.take_along_axis(cand, best, 1), -1)
         got = _chosen(vectors, rows, cand, links // 2)
         table[rows, : links // 2] = got
         source, target = np.repeat(rows, links // 2), got.ravel()
@@ -91,9 +139,10 @@ class Graph:
         self.vectors = np.ascontiguousarray(vectors, np.float32)
         level = np.floor(-np.log(np.random.default_rng(seed).random(len(vectors)) + 1e-300) / np.log(links)).astype(int)
         self.layers = []
-        for h in range(int(level.max(initial=0)) + 1):
+        for h in range(int(level.max(initial=0)), -1, -1):  # from the top down, so that a layer's insertions descend through those above it
             members = np.flatnonzero(level >= h).astype(np.int32)
-            self.layers.append((members, layer(self.vectors[members], 2 * links if h == 0 else links)))
+            entry = np.concatenate([self._entry(self.vectors[members[a : a + 1024]], members) for a in range(0, len(members), 1024)] or [np.zeros((0, 1), np.int64)])
+            self.layers.insert(0, (members, layer(self.vectors[members], 2 * links if h == 0 else links, entry)))
 
     @classmethod
     def packed(cls, vectors: np.ndarray, layers: list) -> Graph:
@@ -101,54 +150,21 @@ class Graph:
         g.vectors, g.layers = vectors, layers
         return g
 
+    def _entry(self, queries: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Positions in ``lower``, the members of the next layer, at which a descent through all layers there are arrives."""
+        entry, last = np.zeros((len(queries), 1), np.int64), None
+        for members, table in reversed(self.layers):
+            if last is not None:
+                entry = np.where(entry >= 0, np.searchsorted(members, last[np.maximum(entry, 0)]), -1)
+            entry, last = walk(self.vectors[members], table, queries, entry, 8, 1)[0], members
+        return entry if last is None else np.where(entry >= 0, np.searchsorted(lower, last[np.maximum(entry, 0)]), -1)
+
     def search(self, queries: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Positions and products of the best ``beam`` met for each query (-1: none), by best-first search from the top layer down."""
-        q = len(queries)
-        entry = np.zeros((q, 1), np.int64)
-        for h in range(len(self.layers) - 1, -1, -1):
-            members, table = self.layers[h]
-            ids, sims = self._walk(queries, members, table, entry, beam if h == 0 else min(8, beam), wide if h == 0 else 1)
-            if h:
-                lower = self.layers[h - 1][0]
-                entry = np.where(ids >= 0, np.searchsorted(lower, members[np.maximum(ids, 0)]), -1)
-        return np.where(ids >= 0, self.layers[0][0][np.maximum(ids, 0)], -1), sims
-
-    def _walk(self, queries, members, table, entry, beam, wide):
-        q, n = len(queries), len(members)
-        x = self.vectors[members]
-        seen = np.zeros((q, n + 1), bool)
-        ids = np.full((q, beam), -1, np.int64)
-        sims = np.full((q, beam), -np.inf, np.float32)
-        k = min(beam, entry.shape[1])
-        ids[:, :k] = entry[:, :k]
-        sims[:, :k] = np.where(ids[:, :k] >= 0, np.einsum("nkd,nd->nk", x[np.maximum(ids[:, :k], 0)], queries), -np.inf)
-        seen[np.arange(q)[:, None], ids[:, :k]] = True
-        open_ = ids >= 0
-        live = np.arange(q)
-        while len(live):
-            best = np.where(open_[live], sims[live], -np.inf)
-            pick = np.argpartition(-best, min(wide, beam) - 1, axis=1)[:, :wide]
-            good = np.isfinite(np.take_along_axis(best, pick, 1))
-            keep = good.any(1)
-            live, pick, good = live[keep], pick[keep], good[keep]
-            if not len(live):
-                break
-            open_[live[:, None], pick] &= ~good
-            nodes = np.where(good, ids[live[:, None], pick], -1)
-            near = np.where(nodes[:, :, None] >= 0, table[np.maximum(nodes, 0)], -1).reshape(len(live), -1)
-            near = np.where(seen[live[:, None], near], -1, near)
-            near.sort(axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            seen[live[:, None], near] = True
-            seen[:, n] = False
-            s = np.einsum("nkd,nd->nk", x[np.maximum(near, 0)], queries[live])
-            s[near < 0] = -np.inf
-            all_s = np.concatenate([sims[live], s], 1)
-            all_i = np.concatenate([ids[live], near], 1)
-            all_o = np.concatenate([open_[live], near >= 0], 1)
-            top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            sims[live], ids[live], open_[live] = (np.take_along_axis(a, top, 1) for a in (all_s, all_i, all_o))
-        return ids, sims
+        if not len(self.vectors):
+            return np.full((len(queries), 1), -1), np.full((len(queries), 1), -np.inf, np.float32)
+        upper, (members, table) = Graph.packed(self.vectors, self.layers[1:]), self.layers[0]
+        return walk(self.vectors, table, queries, upper._entry(queries, members), beam, wide)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,11 +175,16 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Vectors scaled by the longest and given one more component so that all have length 1: then the largest product is the nearest."""
-    square = (vectors**2).sum(1)
-    top = max(float(square.max(initial=0)), 1e-300)
-    return np.column_stack([vectors / np.sqrt(top), np.sqrt(np.maximum(0, 1 - square / top))]).astype(np.float32)
+def lifted(vectors: np.ndarray, share: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled and given one more component so that all have length 1: then the largest product is the nearest; and which are too long.
+
+    The scale is the length that ``share`` of the vectors don't exceed. Were it the greatest, one very long vector would press all others
+    together; those beyond the scale (a twentieth at most) are compared with each query exactly instead.
+    """
+    length = np.sqrt((vectors**2).sum(1))
+    top = max(float(np.quantile(length, share, method="lower")) if len(length) else 0.0, 1e-300)
+    x = vectors[length <= top] / top
+    return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(1)))]).astype(np.float32), length > top
 
 
 def valid(col: str):
@@ -172,15 +193,16 @@ def valid(col: str):
 
 
 def nearest(
-    rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8_192,
-    query_rows: int = 4_096, links: int = 24, beam: int = 256,
+    rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16_384,
+    query_rows: int = 2_048, wave_rows: int = 65_536, links: int = 24, beam: int = 256,
 ) -> DataFrame:
     """The ``k`` nearest by inner product of each row whose id is divisible by ``every``, among all others.
 
     Vectors are dealt to shards of about ``shard_rows`` by a hash of the id; each shard builds its graph and is written as flat arrays.
-    Blocks of ``query_rows`` queries meet every shard, and the shards' results are merged. Found scores are exact: products in double
-    precision of the original vectors. Equal vectors are one node with their k + 1 smallest ids (no more can be asked for), found by
-    ranks in salted groups first. Recall on the test data is in the README.
+    A task holds one shard and sees up to ``wave_rows`` queries go by in blocks of ``query_rows``, so a graph travels once for so many
+    queries; every query meets every shard, and the shards' results are merged. Each shard searches scaled vectors (``lifted``); all that
+    it meets is scored in double precision on the original vectors. Equal vectors are one node with their k + 1 smallest ids (no more can be
+    asked for), found by ranks in salted groups first. Measured recall is in the README.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids and vectors whose number of
     components isn't the most frequent one. Equal rows count once; rows of one id with different vectors are all candidates, and none for
@@ -199,67 +221,89 @@ def nearest(
     part = src.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).dropDuplicates(["vec_id", "v"])
     part = part.withColumn("i", F.row_number().over(Window.partitionBy("v", "salt").orderBy("vec_id"))).where(F.col("i") <= k + 1)
     part = part.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("i") <= k + 1)
-    classes = materialize(part.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vector-classes")
-    n_shards = groups(classes.count(), shard_rows)
+    classes, n_classes = counted(part.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vector-classes")
+    n_shards = groups(n_classes, shard_rows)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(first=[int(x[0]) for x in pdf["ids"]]).sort_values("first")
         v = np.array(pdf["v"].tolist(), np.float64).reshape(-1, width)
-        graph = Graph(lifted(v), links)
-        flat = np.concatenate([np.asarray(x, np.int64) for x in pdf["ids"]])
-        size = np.array([len(x) for x in pdf["ids"]], np.int32)
-        layers = [x.astype(np.int32).tobytes() for pair in graph.layers for x in pair]
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "v": [v.tobytes()], "ids": [flat.tobytes()], "sizes": [size.tobytes()], "layers": [layers]})
+        x, long = lifted(v)
+        order = np.concatenate([np.flatnonzero(~long), np.flatnonzero(long)])  # those in the graph first
+        ids = [np.asarray(pdf["ids"].iloc[i], np.int64) for i in order]
+        layers = [a.astype(np.int32).tobytes() for pair in Graph(x, links).layers for a in pair]
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "v": [v[order].tobytes()], "ids": [np.concatenate(ids).tobytes()], "sizes": [np.array([len(i) for i in ids], np.int32).tobytes()], "layers": [layers]})
 
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(n_shards)).cast("int"))
     index = materialize(dealt.groupBy("shard").applyInPandas(build, "shard int, v binary, ids binary, sizes binary, layers array<binary>"), "vector-graphs")
 
-    asked = src.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    n_blocks = groups(asked.count(), query_rows)
+    asked, n_asked = counted(src.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), "vector-queries")
+    n_blocks = groups(n_asked, query_rows)
+    n_waves = groups(n_asked, wave_rows)
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.array(pdf["v"].tolist(), np.float64).reshape(-1, width)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "qv": [v.tobytes()]})
 
     blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    blocks = materialize(blocks.groupBy("block").applyInPandas(gather, "block int, qids binary, qv binary"), "vector-queries")
-    met = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block").repartition("shard", "block")
+    blocks = materialize(blocks.groupBy("block").applyInPandas(gather, "block int, qids binary, qv binary"), "vector-blocks")
+    wave, none = (F.col("block") % n_waves).cast("int"), F.lit(None).cast("binary")
+    graphs = index.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(n_waves - 1)))).select("shard", "wave", F.lit(-1).alias("block"), "v", "ids", "sizes", "layers")
+    calls = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).select("shard", wave.alias("wave"), "block", F.col("qv").alias("v"), F.col("qids").alias("ids"), none.alias("sizes"), F.lit(None).cast("array<binary>").alias("layers"))
+    met = graphs.unionByName(calls).repartition(2 * n_shards * n_waves, "shard", "wave").sortWithinPartitions("shard", "wave", "block")  # a graph, then its queries
 
     def search(batches):
+        held = None
         for b in batches:
-            for r in b.to_pylist():
-                v = np.frombuffer(r["v"], np.float64).reshape(-1, width)
-                ids, size = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32)
-                start = np.concatenate([[0], np.cumsum(size)])
-                flat = [np.frombuffer(x, np.int32) for x in r["layers"]]
-                layers = [(m, t.reshape(len(m), -1)) for m, t in zip(flat[::2], flat[1::2])]
-                graph = Graph.packed(lifted(v), layers)
-                qids, qv = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qv"], np.float64).reshape(-1, width)
-                for at in range(0, len(qids), 512):
-                    own, q = qids[at : at + 512], qv[at : at + 512]
-                    scaled = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))]).astype(np.float32)
-                    found, sims = graph.search(scaled, max(beam, k + 1))
-                    order = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * k + 2]
-                    found = np.take_along_axis(found, order, 1)
-                    row, col = np.nonzero(found >= 0)
-                    node = found[row, col]
-                    score = products(q[row], v[node])
-                    many = np.repeat(np.arange(len(node)), size[node])
-                    member = ids[start[node][many] + np.arange(len(many)) - np.repeat(np.cumsum(size[node]) - size[node], size[node])]
-                    query, score = row[many], score[many]
-                    keep = member != own[query]
-                    query, member, score = query[keep], member[keep], score[keep]
-                    order = np.lexsort((member, -score, query))
-                    query, member, score = query[order], member[order], score[order]
-                    nth = np.arange(len(query)) - np.searchsorted(query, query)
-                    keep = nth < k
-                    yield pa.RecordBatch.from_arrays([pa.array(own[query[keep]]), pa.array(member[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in ("block", "v", "ids", "sizes", "layers")}
+                if r["block"] < 0:
+                    held = Shard(r, width)
+                    continue
+                qids, qv = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["v"], np.float64).reshape(-1, width)
+                for at in range(0, len(qids), 256):
+                    query, member, score = held.nearest(qids[at : at + 256], qv[at : at + 256], k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(member), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Shard:
+    """A shard's vectors, those in the graph first, their ids, and the graph."""
+
+    def __init__(self, row: dict, width: int):
+        self.v = np.frombuffer(row["v"], np.float64).reshape(-1, width)
+        self.ids, self.size = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        flat = [np.frombuffer(x, np.int32) for x in row["layers"]]
+        self.graph = Graph.packed(lifted(self.v)[0], [(m, t.reshape(len(m), -1)) for m, t in zip(flat[::2], flat[1::2])])
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score) of the ``k`` best for each query; ``own``: the queries' ids, which they don't find."""
+        unit = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))]).astype(np.float32)
+        found, _ = self.graph.search(unit, max(beam, 2 * k))
+        inside = len(self.graph.vectors)
+        found = np.column_stack([found, np.tile(np.arange(inside, len(self.v)), (len(q), 1))])
+        row, col = np.nonzero(found >= 0)
+        node = found[row, col]
+        score = products(q[row], self.v[node])
+        order = np.lexsort((-score, row))  # k + 1 nodes hold the k best ids, whichever of them is the query's own
+        row, node, score = row[order], node[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < 2 * k + 2
+        row, node, score = row[keep], node[keep], score[keep]
+        size = self.size[node]
+        many = np.repeat(np.arange(len(node)), size)
+        member = self.ids[self.start[node][many] + np.arange(len(many)) - np.repeat(np.cumsum(size) - size, size)]
+        row, score = row[many], score[many]
+        keep = member != own[row]
+        row, member, score = row[keep], member[keep], score[keep]
+        order = np.lexsort((member, -score, row))
+        row, member, score = row[order], member[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return own[row[keep]], member[keep], score[keep]
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
