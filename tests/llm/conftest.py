@@ -4,6 +4,9 @@ import pytest
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven old owls watch from their high dark tree near that cold river bank".split()
 
+#: Names that operators use inside themselves.
+CLASHING = "src target source_size epochs budget cut_b last_key last_draw start _key _nth _size _draw _source _times _gone _twice own nth id draw h shard g r row hub labelled".split()
+
 
 @pytest.fixture(scope="session")
 def odd(spark):
@@ -15,7 +18,7 @@ def odd(spark):
         (None, "no id", "en", "a", 5), (11, "two words", "en", "b", 9), (11, "two words", "en", "b", 9), (12, "12345 !!! 99", "en", "a", 3), (13, "für Ärger  日本 語\r\nzwei", "de", "c", 3),
     ]
     cols = "doc_id long, text string, lang string, source string, n long"
-    return spark.createDataFrame(rows, cols).selectExpr("*", "n AS size", "n AS score", "n AS at", "n AS rep", "n AS _b", "text AS part")
+    return spark.createDataFrame(rows, cols).selectExpr("*", "n AS size", "n AS score", "n AS at", "n AS rep", "n AS _b", "text AS part", *[f"n AS {c}" for c in CLASHING])
 
 
 @pytest.fixture(scope="session")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidegraph.llm import tree_weighting as tw
-from tidegraph.llm.language_id import CLASSES, Model, automaton, identify, keep_known_languages, op5_language_id
-from tidegraph.llm.quality import keep_good, op3_quality, quality_scores
+from tidegraph.llm.language_id import Model, automaton, folded, identify, language_samples, keep_known_languages, op5_language_id
+from tidegraph.llm.quality import fit, keep_good, op3_quality, quality_scores
 
 
 def test_quality_on_held_out_labels(spark, sf):
@@ -34,6 +34,25 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert keep_good(empty, empty, labels).count() == 0
 
 
+def test_quality_is_the_plain_network_on_the_plain_mean(spark, sf, documents):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    src = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vectors, net = fit(src, labels, 400, 300, 16, 3)
+    got = {r.doc_id: r.score for r in quality_scores(documents, labels, max_rows=400, words=300, hidden=16, seed=3).collect()}
+    for r in documents.limit(60).collect():
+        total, n, last = [0.0] * 64, 0, None
+        for chunk in (r.text or "").split():
+            ids = [vectors.id(t) for t in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", chunk)] + ([vectors.ids["<again>"]] if chunk == last else [])
+            last = chunk
+            for i in ids:
+                total = [a + float(b) for a, b in zip(total, vectors.table[i])]
+            n += len(ids)
+        x = [(v / max(1, n) - m) / s for v, m, s in zip(total, net.mean, net.scale)]
+        hidden = [math.tanh(sum(x[i] * net.w[0][i][j] for i in range(64)) + net.w[1][j]) for j in range(16)]
+        z = sum(h * w for h, w in zip(hidden, net.w[2])) + net.w[3][0]
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-max(-30, min(30, z / net.t)))), abs_tol=1e-4)
+
+
 def phrases(sample: bytes, text: bytes) -> int:
     """Greedy longest matches by search."""
     n = at = 0
@@ -51,15 +70,32 @@ def test_automaton_parses_like_a_search():
     for _ in range(20):
         sample = rng.integers(1, 4, 60).astype(np.uint8)
         text = rng.integers(1, 5, 80).astype(np.uint8)
-        table, n = automaton(sample), 0
-        state = len(table) // CLASSES - 1
+        table, n = automaton(sample, 5), 0
+        state = len(table) // 5 - 1
         for c in text.tolist():
-            got = int(table[state * CLASSES + c])
+            got = int(table[state * 5 + c])
             n += got >> 30
             state = got & ((1 << 30) - 1)
         assert n == phrases(sample.tobytes(), text.tobytes())
 
 
+def test_whole_texts_are_parsed_like_a_search(spark, documents):
+    samples = language_samples(documents, 64, 250, 4_000)
+    model = Model(samples)
+    plain = {k: folded(np.frombuffer(v.encode(), np.uint8), np.array([len(v.encode())]))[0].tobytes() for k, v in samples.items()}
+    texts = [r.text or "" for r in documents.limit(40).collect()] + ["日本語 für Ärger " * 90, "q" * 900, ""]
+    names, scores = model(pa.array(texts))
+    for text, name, score in zip(texts, names, scores):
+        raw = folded(np.frombuffer(text.encode(), np.uint8), np.array([len(text.encode())]))[0].tobytes()
+        n = max(1, len(raw))
+        cost = {k: phrases(own, raw) * math.log2(max(2, len(own))) / n for k, own in plain.items()}
+        if any(map(str.isalpha, text)):
+            assert name == min(sorted(cost), key=cost.get)
+            assert math.isclose(score, 1 / sum(2 ** -min((c - min(cost.values())) * min(n, 50), 60) for c in cost.values()), rel_tol=1e-9)
+        else:
+            assert (name, score) == ("und", 0.0)
+
+
 def test_language_on_held_out_rows(spark, sf, documents):
     lang = {r.doc_id: r.lang for r in documents.collect()}
     rows = op5_language_id(spark, sf).collect()

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.store import materialize  # noqa: F401
@@ -59,6 +59,25 @@ def word_lists(raw: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
         at = to
 
 
+def before(count: DataFrame, keys: list[str], at: str, value: str, out: str, span: int = 1024) -> DataFrame:
+    """``count`` with the sum of ``value`` over the rows of the same ``keys`` (nulls are equal) with smaller ``at`` (unique there, from 0).
+
+    Sums of ``span`` rows come first, so no task orders more than ``span`` of the rows, or a ``span``-th of them.
+    """
+    run = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = count.withColumn("_span", F.floor(F.col(at) / span))
+    total = rows.groupBy(*keys, "_span").agg(F.sum(value).alias("_sum"))
+    total = total.withColumn("_up", F.coalesce(F.sum("_sum").over(run(keys or [F.lit(0)], "_span")), F.lit(0))).drop("_sum")
+    own = [*keys, "_span"]
+    for c in own:
+        total = total.withColumnRenamed(c, f"_of{c}")
+    on = F.lit(True)
+    for c in own:
+        on &= F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    rows = rows.withColumn("_in", F.coalesce(F.sum(value).over(run(own, at)), F.lit(0)))
+    return rows.join(total, on).withColumn(out, F.col("_in") + F.col("_up")).drop("_in", "_up", "_span", *[f"_of{c}" for c in own])
+
+
 def spare(name: str, df: DataFrame) -> str:
     """A column name like ``name`` that ``df`` doesn't have, in any letter case."""
     taken = {c.lower() for c in df.columns}

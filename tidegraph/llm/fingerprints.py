@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch, strings
+from tidegraph.llm.common import batch, groups, strings
 
 CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 WINDOW = 7
@@ -124,27 +124,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) in parts by ranges of the id, each part followed by the rows that come next after it (``ahead`` = 1).
+def with_next(docs: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
+    """The rows (doc_id, text) in parts by ranges of the id, each part followed by the row that comes next after it (``ahead`` = 1).
 
-    There are twice as many ranges as shuffle partitions; the driver holds their bounds and smallest ids. Each text is shuffled once.
+    Parts hold about ``part_bytes`` of texts, and there are at least twice as many as shuffle partitions. Rows of one id that would fill several parts
+    are dealt by ranges of a hash of the text, which is their order. The driver holds the parts' bounds and first rows' keys. Each text is
+    shuffled once.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), groups(size, part_bytes))
     bounds = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first().q
-    cuts = np.unique(np.array(bounds or [], np.int64))
-    part_of = F.pandas_udf(lambda at: pd.Series(np.searchsorted(cuts, at.to_numpy(), side="right").astype(np.int32)), "int")
-    first = sorted((r.p, r.least) for r in rows.select("at").withColumn("p", part_of("at")).groupBy("p").agg(F.min("at").alias("least")).collect())
-    back = {least: first[i - 1][0] for i, (_, least) in enumerate(first)}  # the smallest id follows the last part
+    cut_at, cut_h = cuts(bounds or [])
 
-    def places(at: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, at.to_numpy(), side="right").tolist()
-        return pd.Series([[[p, 0], [back[a], 1]] if a in back else [[p, 0]] for a, p in zip(at.tolist(), own)])
+    def part(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, out = np.searchsorted(cut_at, at), np.searchsorted(cut_at, at, side="right")
+        for a in np.unique(at[out > low]):
+            own = at == a
+            x, y = low[own][0], out[own][0]
+            out[own] = x + np.searchsorted(cut_h[x:y], h[own], side="right")
+        return out.astype(np.int32)
 
-    placed = rows.withColumn("place", F.explode(F.pandas_udf(places, "array<array<int>>")("at")))
-    placed = placed.select("doc_id", "text", "at", F.col("place")[0].alias("part"), F.col("place")[1].alias("ahead"))
-    return placed.repartition("part").sortWithinPartitions("part", "ahead", "at", F.xxhash64("text"))
+    part_of = F.pandas_udf(lambda at, h: pd.Series(part(at.to_numpy(), h.to_numpy())), "int")
+    least = rows.select("at", "h").withColumn("p", part_of("at", "h")).groupBy("p").agg(F.min(F.struct("at", "h")).alias("k")).select("p", "k.at", "k.h")
+    first = sorted((r.p, (r["at"], r.h)) for r in least.collect())
+    back = {key: first[i - 1][0] for i, (_, key) in enumerate(first)}  # the smallest key follows the last part
+
+    def places(at: pd.Series, h: pd.Series) -> pd.Series:
+        own = part(at.to_numpy(), h.to_numpy()).tolist()
+        return pd.Series([[[p, 0], [back[k], 1]] if k in back else [[p, 0]] for k, p in zip(zip(at.tolist(), h.tolist()), own)])
+
+    placed = rows.withColumn("place", F.explode(F.pandas_udf(places, "array<array<int>>")("at", "h")))
+    placed = placed.select("doc_id", "text", "at", "h", F.col("place")[0].alias("part"), F.col("place")[1].alias("ahead"))
+    return placed.repartition(parts, "part").sortWithinPartitions("part", "ahead", "at", "h")
+
+
+def cuts(bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First keys (id, hash) of all parts but the first. An id that is a bound k times over is cut k - 1 times more, by even ranges of the hash."""
+    at, times = np.unique(np.array(bounds, np.int64), return_counts=True)
+    step = [(2**64 // int(k)) for k in times]
+    return np.repeat(at, times), np.array([-(2**63) + i * s for k, s in zip(times, step) for i in range(int(k))], np.int64)
 
 
 def edited(text: str, following: str) -> str:
@@ -153,10 +173,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20) -> DataFrame:
     """Fingerprints of all texts and of their edits by the next document (ascending id, null first; after the last the first).
 
-    Rows that repeat an id follow each other in the order of a hash of the text. A null text is empty. With one row, the next is itself.
+    Rows that repeat an id follow each other in the order of a hash of the text (equal rows stay in one part). A null text is empty. With one row, the next is itself.
     An empty table gives an empty result; other columns are ignored.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
@@ -181,7 +201,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield batch(schema, list(zip(*out)))
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return with_next(src).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(src, part_bytes).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import batch, fold, materialize, text_bytes
 
-CLASSES = 64
 BLOCK = 256
 _MISS = 1 << 30
 
@@ -44,8 +43,8 @@ def folded(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[keep], kept[ends]
 
 
-def automaton(sample: np.ndarray) -> np.ndarray:
-    """Suffix automaton of a sequence of classes as one flat table: ``table[state * CLASSES + class]`` is the next state.
+def automaton(sample: np.ndarray, classes: int) -> np.ndarray:
+    """Suffix automaton of a sequence of classes as one flat table: ``table[state * classes + class]`` is the next state.
 
     Where the match can't go on, the entry is the state after the class from the start, with ``_MISS`` set: a new phrase begins. The last
     state is where parsing begins and where a class that the sample lacks, a phrase of its own, leaves it: any next class begins a phrase.
@@ -75,7 +74,7 @@ def automaton(sample: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.full(CLASSES, len(nexts), np.int32)
+    root = np.full(classes, len(nexts), np.int32)
     for c, s in nexts[0].items():
         root[c] = s
     table = np.tile(root | _MISS, (len(nexts) + 1, 1)).astype(np.int32)
@@ -90,48 +89,62 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
-        parts = []
+        self.classes, self.widths, self.tables, self.bits = [], [], [], []
         for name in self.names:
             raw = np.frombuffer(samples[name].encode(), np.uint8)
-            parts.append(folded(raw, np.array([len(raw)]))[0])
-        seen = np.bincount(np.concatenate([*parts, np.zeros(0, np.uint8)]), minlength=256)
-        top = [int(b) for b in np.argsort(-seen, kind="stable")[: CLASSES - 2] if seen[b]]
-        self.classes = np.zeros(256, np.uint8)  # 0: a byte that no sample has
-        for i, b in enumerate(top):
-            self.classes[b] = i + 1
-        self.tables = [automaton(self.classes[p]) for p in parts]
-        self.bits = np.array([math.log2(max(2, len(p))) for p in parts])
+            part = folded(raw, np.array([len(raw)]))[0]
+            seen = np.unique(part)
+            own = np.zeros(256, np.uint8)  # 0: a byte that the sample doesn't have; a UTF-8 text has fewer than 256 values
+            own[seen] = np.arange(1, len(seen) + 1)
+            self.classes.append(own)
+            self.widths.append(len(seen) + 1)
+            self.tables.append(automaton(own[part], len(seen) + 1))
+            self.bits.append(math.log2(max(2, len(part))))
+        self.bits = np.array(self.bits)
 
     def phrases(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Phrases of each text by each language. Texts are parsed in blocks side by side; a block begins at the automaton's start."""
+        """Phrases of each text by each language, as one parse from its first byte to its last.
+
+        Texts are parsed in blocks side by side, each from where the block before it ended. At first all begin anew; as parses soon meet, few blocks
+        end elsewhere when they begin where they should, and those after them are parsed once more until nothing changes.
+        """
         starts = np.concatenate([[0], ends[:-1]])
         blocks = -(-(ends - starts) // BLOCK)
         owner = np.repeat(np.arange(len(ends)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         first = starts[owner] + nth * BLOCK
         size = np.minimum(BLOCK, ends[owner] - first)
-        order = np.argsort(-size, kind="stable")
-        first, size, owner = first[order], size[order], owner[order]
-        live = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than j come first
-        symbols = self.classes[symbols]
         out = np.zeros((len(ends), len(self.tables)))
-        states = [np.full(len(first), len(table) // CLASSES - 1, np.int32) for table in self.tables]
-        counts = [np.zeros(len(first), np.int32) for _ in self.tables]
+        for k, (table, width, classes) in enumerate(zip(self.tables, self.widths, self.classes)):
+            own = classes[symbols]
+            begin = np.full(len(first), len(table) // width - 1, np.int32)
+            end, count, todo = begin.copy(), np.zeros(len(first), np.int32), np.arange(len(first))
+            while len(todo):
+                end[todo], count[todo] = self._parse(table, width, own, first[todo], size[todo], begin[todo])
+                follows = todo + 1
+                follows = follows[follows < len(first)]
+                follows = follows[(nth[follows] > 0) & (begin[follows] != end[follows - 1])]
+                begin[follows] = end[follows - 1]
+                todo = follows
+            out[:, k] = np.bincount(owner, weights=count, minlength=len(ends))
+        return out
+
+    @staticmethod
+    def _parse(table: np.ndarray, width: int, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last state and new phrases of each block."""
+        order = np.argsort(-size, kind="stable")
+        at, state, count = first[order], begin[order], np.zeros(len(order), np.int32)
+        live = np.searchsorted(-size[order], -np.arange(BLOCK), side="left")  # blocks longer than j come first
         for j in range(BLOCK):
             n = int(live[j])
             if not n:
                 break
-            s = symbols[first[:n] + j].astype(np.int32)
-            for table, state, count in zip(self.tables, states, counts):
-                at = state[:n] * CLASSES
-                at += s
-                got = table[at]
-                count[:n] += got >> 30
-                got &= _MISS - 1
-                state[:n] = got
-        for k, (state, count) in enumerate(zip(states, counts)):
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(ends))
-        return out
+            got = table[state[:n] * width + symbols[at[:n] + j]]
+            count[:n] += got >> 30
+            state[:n] = got & (_MISS - 1)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[back], count[back]
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         raw, offsets = text_bytes(texts)
@@ -171,17 +184,20 @@ def _model(samples: dict[str, str]) -> Model:
 
 
 def language_samples(docs: DataFrame, docs_each: int, chars_each: int, chars: int) -> dict[str, str]:
-    """Up to ``chars`` characters for each language, from ``docs_each`` of its rows at most, ``chars_each`` of each.
+    """Up to ``chars`` characters for each language: a stretch of ``chars_each`` from each of ``docs_each`` of its different texts at most.
 
-    ``docs``: doc_id, text, lang. Rows come in the order of a hash of their id; the hash's range is narrowed first, so no language is
-    sorted whole.
+    ``docs``: doc_id, text, lang. Texts come in the order of a hash, which also says where a stretch lies; copies share a hash and count once. The
+    hash's range is narrowed first, so no language is sorted whole.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     count = materialize(known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n")), "languages")  # its size is known before the join
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    near = known.join(count, F.col("lang") == F.col("lang_")).where(draw < F.lit(8.0 * docs_each) / F.col("n"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
-    rows = near.select("lang", F.substring("text", 1, chars_each).alias("text"), nth.alias("nth")).where(F.col("nth") <= docs_each)
+    h = F.xxhash64("text", F.lit(5))
+    draw = F.pmod(h, F.lit(1 << 40)).cast("double") / float(1 << 40)
+    begin = F.pmod(F.shiftright(h, 20), F.greatest(F.length("text") - chars_each, F.lit(0)) + 1) + 1
+    near = known.join(count, F.col("lang") == F.col("lang_")).withColumn("draw", draw).where(F.col("draw") < F.lit(32.0 * docs_each) / F.col("n"))
+    near = near.select("lang", "draw", F.substring("text", begin.cast("int"), F.lit(chars_each)).alias("text")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    rows = near.withColumn("nth", nth).where(F.col("nth") <= docs_each)
     out: dict[str, str] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.nth)):
         out[r.lang] = f"{out.get(r.lang, '')} {r.text}"[:chars]
@@ -190,14 +206,15 @@ def language_samples(docs: DataFrame, docs_each: int, chars_each: int, chars: in
 
 def identify(
     docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_each: int = 60, chars_each: int = 1_000, chars: int = 16_000,
+    docs_each: int = 64, chars_each: int = 250, chars: int = 16_000,
 ) -> DataFrame:
     """Predict the language of whole texts by the cross-parsing estimate of relative entropy (Ziv and Merhav).
 
     ``train`` (default: ``docs``) gives each language's sample of at most ``chars`` characters, a documented bound. In every worker a
     suffix automaton of the sample finds longest matches; a text's phrases times log2 of the sample's length over the text's length is
-    its cost, and the cheapest language wins (ties: the first in code-point order). All of a text is parsed, in blocks of 256 bytes
-    after case folding. The plan is one scan; samples of a fixed size are what tasks receive.
+    its cost, and the cheapest language wins (ties: the first in code-point order). All of a text is parsed as one, after case folding, and
+    every byte value of a sample is told apart. The plan is one scan; samples of a fixed size are what tasks receive (a worker's automata take
+    about 8 MB for each language).
 
     ``und`` with score 0: a null text, a text without a letter, or nothing to learn from. Null languages are not learned from. Repeated
     rows give equal rows; empty tables give empty results; other columns are ignored.
@@ -226,7 +243,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, docs_each: int = 60, chars_each: int = 1_000, chars: int = 16_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, docs_each: int = 64, chars_each: int = 250, chars: int = 16_000,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that aren't ``und`` and whose language scores ``least`` or more; see ``identify``.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import groups, id_text, materialize
+from tidegraph.llm.common import before, groups, id_text, materialize
+from tidegraph.store import counted
 
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = "!|%$#*&"
@@ -66,16 +67,15 @@ def plan(rows: DataFrame, n_buckets: int, weights: list[int], share: float, most
     """
     hist = rows.groupBy("_source", bucket(n_buckets).alias("b")).agg(F.sum("_size").alias("s"))
     goals = targets(hist.groupBy("_source").agg(F.sum("s").alias("source_size")), weights, share, most)
-    run = hist.withColumn("end", F.sum("s").over(Window.partitionBy("_source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumnRenamed("_source", "src")
+    run = before(hist, ["_source"], "b", "s", "start").withColumn("end", F.col("start") + F.col("s")).withColumnRenamed("_source", "src")
     cut = goals.join(run, goals._source.eqNullSafe(run.src) & (run.end > goals.budget), "left")
-    cut = cut.groupBy("_source", "source_size", "target", "epochs", "budget").agg(F.min(F.struct("b", (F.col("end") - F.col("s")).alias("start"))).alias("at"))
+    cut = cut.groupBy("_source", "source_size", "target", "epochs", "budget").agg(F.min(F.struct("b", "start")).alias("at"))
     cut = cut.select("_source", "source_size", "target", "epochs", "budget", F.col("at.b").alias("cut_b"), F.col("at.start").alias("start"))
     cut = materialize(cut, "mix-cut")
     edge = cut.select(F.col("_source").alias("src"), "cut_b", "start", "budget")
     inside = rows.withColumn("b", bucket(n_buckets)).join(edge, rows._source.eqNullSafe(edge.src) & (F.col("b") == F.col("cut_b")))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("_key", "_draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = inside.withColumn("before", before + F.col("start")).where(F.col("before") + F.col("_size") / 2 <= F.col("budget"))
+    so_far = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("_key", "_draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = inside.withColumn("before", so_far + F.col("start")).where(F.col("before") + F.col("_size") / 2 <= F.col("budget"))
     last = taken.groupBy(F.col("_source").alias("src")).agg(F.max(F.struct("_key", "_draw")).alias("last"))
     out = cut.join(last, cut._source.eqNullSafe(last.src), "left")
     return out.select(F.col("_source").alias("src"), "source_size", "target", "epochs", "cut_b", F.col("last._key").alias("last_key"), F.col("last._draw").alias("last_draw"))
@@ -91,7 +91,7 @@ def times_taken(n_buckets: int) -> Column:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None,
-    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, rows_per_bucket: int = 4_000,
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, rows_per_bucket: int = 500,
 ) -> tuple[DataFrame, DataFrame, int]:
     """Plan a mix of sources by Efraimidis-Spirakis sampling.
 
@@ -100,14 +100,15 @@ def mix(
     (``quality_col``; a null one is 1; without it marks for each word set the weight). Whole epochs come first; the rest takes rows in
     key order to the one whose end lies nearest the budget. Keys are digests of seed, id and text, so reruns agree; rows that are equal
     in all of these share a key and are all taken alike. Null texts have 0 words and are taken 0 times over. An empty table gives an
-    empty mix. Columns that this adds begin with an underscore; the result's rows come from ids, texts and sources alone.
+    empty mix. The mix is planned on ids, texts, sources and qualities alone, so other columns
+    can't clash.
 
     Returns (compact rows, plan by source, number of buckets).
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *([F.col(quality_col).alias("quality")] if quality_col else []))
     rows = keyed(own, "doc_id", "text", "source", "quality" if quality_col else None).select("doc_id", "_source", "_size", "_key", "_draw")
-    rows = materialize(rows, "mix-rows")
-    n = groups(rows.count(), rows_per_bucket, 16)
+    rows, n = counted(rows, "mix-rows")
+    n = groups(n, rows_per_bucket, 64)
     return rows, materialize(plan(rows, n, list(weights), share, most), "mix-plan"), n
 
 
@@ -119,12 +120,13 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with their own columns, as often as the mix takes them; rows without words are left out."""
+    """The rows of ``docs``, with their own columns whatever their names, as often as the mix takes them; rows without words are left out."""
     _, goals, n = mix(docs, **options)
-    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    rows = keyed(docs, id_col, text_col, source_col, options.get("quality_col")).where("_size > 0")
-    out = rows.join(goals, F.col("_source").eqNullSafe(F.col("src"))).withColumn("_times", times_taken(n))
-    return out.where("_times > 0").withColumn("_nth", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*docs.columns)
+    cols = {new: options.get(f"{name}_col", default) for new, name, default in (("doc_id", "id", "doc_id"), ("text", "text", "text"), ("source", "source", "source"), ("quality", "quality", None))}
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c).alias(new) for new, c in cols.items() if c])
+    rows = keyed(own, "doc_id", "text", "source", "quality" if cols["quality"] else None).where("_size > 0")
+    out = rows.join(goals, F.col("_source").eqNullSafe(F.col("src"))).withColumn("_times", times_taken(n)).where("_times > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select("row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

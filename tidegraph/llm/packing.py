@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, cap: int, vocab: str, end_id: int) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, cap: int = 1024, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = 2, rows_per_bucket: int = 4_000,
+    docs: DataFrame, cap: int = 1024, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = 2, rows_per_bucket: int = 500,
 ) -> DataFrame:
     """Pack the token pieces of all texts into as few sequences of at most ``cap`` tokens as the search finds.
 
