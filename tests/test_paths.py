@@ -164,7 +164,7 @@ def test_a_parallel_edge_that_stays_keeps_the_level(spark):
     assert tree(r)[0] == [0, 1, 2]
 
 
-@pytest.mark.parametrize("name", ["components_whole", "sssp_compute_whole", "mosp_compute_whole", "dynamic_bfs_compute_whole"])
+@pytest.mark.parametrize("name", ["components", "sssp_compute", "mosp_compute", "dynamic_bfs_compute"])
 def test_queries_of_the_whole_part_graph_match_their_sql(spark, sf, name):
     import duckdb
 

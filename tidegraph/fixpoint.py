@@ -22,10 +22,11 @@ STATE = "id long, distance long, parent long"
 
 @dataclass(frozen=True)
 class Limit:
-    """What a loop does at ``rounds``: ``error``, ``report`` (stop, not converged) or ``fallback`` (compute afresh)."""
+    """What a loop does at ``rounds`` or ``visits``: ``error``, ``report`` (stop, not converged) or ``fallback`` (compute afresh)."""
 
     rounds: int = 1_000_000
     policy: str = "error"
+    visits: int | None = None  # a bound of the nodes visited in all rounds; the round that would exceed it isn't begun
 
     def __post_init__(self):
         if self.policy not in ("error", "report", "fallback"):
@@ -38,6 +39,7 @@ class Solved:
     rounds: int = 0
     visits: int = 0
     converged: bool = True
+    stopped_by: str = "none"  # or iterations, work_budget
 
 
 def pair(distance: str, parent: str) -> Column:
@@ -69,10 +71,11 @@ def relax(arcs: DataFrame, state: DataFrame, limit: Limit = Limit()) -> Solved:
     rounds = visits = 0
     try:
         while seen["n"]:
-            if rounds >= limit.rounds:
+            over = "iterations" if rounds >= limit.rounds else "work_budget" if limit.visits is not None and visits + seen["n"] > limit.visits else None
+            if over:
                 if limit.policy == "error":
-                    raise NotConverged(f"no fixed point after {rounds} rounds")
-                return Solved(cur.drop("moved"), rounds, visits, False)
+                    raise NotConverged(f"no fixed point after {rounds} rounds and {visits} visits")
+                return Solved(cur.drop("moved"), rounds, visits, False, over)
             visits += seen["n"]
             rounds += 1
             front = cur.where("moved").select(F.col("id").alias("src"), "distance")

@@ -14,6 +14,8 @@ from tidegraph.store import counted, materialize, measured
 
 ACTIVE, DELETED = 1, 2
 MAX_INT = 2**31 - 1
+SMALL_BATCH = 100_000  # a batch of at most so many rows leaves the edge table as it was written, less the pairs it names, plus what they are now;
+MOST_PENDING = 4  # after so many of them the table is written anew
 
 
 @dataclass(frozen=True)
@@ -140,7 +142,8 @@ class Graph:
     that arrived, where batches bring vertices. A commit replaces references, so a batch that is refused changes nothing.
     """
 
-    def __init__(self, edges: DataFrame, num_vertices: int, num_weights: int, properties: Properties, next_pos: int, version: int = 0, status: DataFrame | None = None):
+    def __init__(self, edges: DataFrame, num_vertices: int, num_weights: int, properties: Properties, next_pos: int, version: int = 0, status: DataFrame | None = None, pending: int = 0):
+        self.pending = pending  # commits since the edges were written as one table
         self.edges, self.num_vertices, self.num_weights, self.properties = edges, num_vertices, num_weights, properties
         self.next_pos, self.version, self.status = next_pos, version, status
 
@@ -247,7 +250,7 @@ class Graph:
 
     def clone(self) -> Graph:
         """Tables never change, so a clone shares them."""
-        return Graph(self.edges, self.num_vertices, self.num_weights, self.properties, self.next_pos, self.version, self.status)
+        return Graph(self.edges, self.num_vertices, self.num_weights, self.properties, self.next_pos, self.version, self.status, self.pending)
 
     def check(self) -> None:
         """Raise if an invariant doesn't hold."""
@@ -285,7 +288,10 @@ class Graph:
         rest = self.edges.join(pairs, ["src", "dst"], "left_anti")
         sizes = of_ins["n"], of_dels["n"], n_old, (of_ins["last"] or 0) + 1 if of_ins["n"] else 0
         new, counts, removed, added = (self._as_sets if s.as_sets else self._in_order)(old, ins, dels, *sizes)
-        after = Graph(materialize(rest.unionByName(new), "edges"), n, self.num_weights, self.properties, self.next_pos + counts.pop("used"), self.version + 1, self.status)
+        edges, pending = rest.unionByName(new), self.pending + 1
+        if of_ins["n"] + of_dels["n"] > SMALL_BATCH or pending > MOST_PENDING:
+            edges, pending = materialize(edges, "edges"), 0
+        after = Graph(edges, n, self.num_weights, self.properties, self.next_pos + counts.pop("used"), self.version + 1, self.status, pending)
         summary = Summary(dropped_self_loops=loops, inserted_vertices=n - self.num_vertices, num_vertices_after=n, **counts)
         return Commit(self.clone(), after, old, new, removed, added, summary)
 
@@ -294,7 +300,7 @@ class Graph:
         if done.before.version != self.version:
             raise InvalidArgument("the commit is of another version")
         a = done.after
-        self.edges, self.num_vertices, self.next_pos, self.version, self.status = a.edges, a.num_vertices, a.next_pos, a.version, a.status
+        self.edges, self.num_vertices, self.next_pos, self.version, self.status, self.pending = a.edges, a.num_vertices, a.next_pos, a.version, a.status, a.pending
 
     def apply(self, batch: EdgeBatch) -> Summary:
         done = self.commit(batch)

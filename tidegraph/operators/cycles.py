@@ -18,10 +18,9 @@ def _apart(new: str, path: list[str]) -> Column:
     return out
 
 
-def _closing(paths: DataFrame, edges: DataFrame, last: str, first: str, extra: Column | None = None) -> DataFrame:
-    back = edges.withColumnsRenamed({"src": "_s", "dst": "_t"})
-    on = (F.col(last) == F.col("_s")) & (F.col(first) == F.col("_t"))
-    return paths.join(back, on if extra is None else on & extra)
+def _closing(paths: DataFrame, edges: DataFrame, last: str, first: str) -> DataFrame:
+    back = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_t"))
+    return paths.join(back, (F.col(last) == F.col("_s")) & (F.col(first) == F.col("_t"))).drop("_s", "_t")
 
 
 def count_cycles(edges: DataFrame, bound: int) -> DataFrame:
@@ -53,24 +52,32 @@ def count_cycles(edges: DataFrame, bound: int) -> DataFrame:
 
 
 def cycles_through(edges: DataFrame, changed: DataFrame, bound: int) -> DataFrame:
-    """(length, count) of the cycles that hold an edge of ``changed`` (src, dst), each counted at its smallest changed edge."""
-    edges = edges.where("src <> dst").select("src", "dst").distinct()
-    mark = changed.select(F.col("src").alias("_cs"), F.col("dst").alias("_ct")).where("_cs <> _ct").distinct()
-    mark = materialize(mark, "changed")
-    mark_id = F.struct(F.col("_cs").alias("s"), F.col("_ct").alias("t"))
-    marked = edges.join(mark, (F.col("src") == F.col("_cs")) & (F.col("dst") == F.col("_ct")), "left")
-    marked = materialize(marked.select("src", "dst", F.when(F.col("_cs").isNotNull(), mark_id).alias("cid")), "marked")
+    """(length, count) of the cycles of distinct ``edges`` that hold one of ``changed`` (src, dst), each counted at its smallest changed edge.
+
+    Paths begin with a changed edge of ``edges``, and each further edge is looked up among the changed ones; nothing of ``edges`` is written.
+    """
+    edges = edges.where("src <> dst").select("src", "dst")
+    mark = changed.select("src", "dst").where("src <> dst").distinct().join(edges, ["src", "dst"], "left_semi")
+    mark = materialize(mark, "changed")  # its size is known before the joins
+
+    def later(paths: DataFrame, s: str, t: str) -> DataFrame:
+        own = mark.select(F.col("src").alias("_cs"), F.col("dst").alias("_ct"))
+        out = paths.join(own, (F.col(s) == F.col("_cs")) & (F.col(t) == F.col("_ct")), "left")
+        after = F.struct(F.col(s).alias("v0"), F.col(t).alias("v1")) > F.struct("v0", "v1")
+        return out.where(F.col("_cs").isNull() | after).drop("_cs", "_ct")
+
     path = ["v0", "v1"]
-    paths = marked.where("cid IS NOT NULL").select(F.col("src").alias("v0"), F.col("dst").alias("v1"), F.col("cid").alias("own"))
-    later = F.col("cid").isNull() | (F.col("cid") > F.col("own"))
+    paths = mark.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
     counts = []
     for length in range(2, bound + 1):
-        counts.append(_closing(paths, marked, path[-1], "v0", later).agg(F.count(F.lit(1)).alias("count")).select(F.lit(length).alias("length"), "count"))
+        closed = later(_closing(paths, edges, path[-1], "v0"), path[-1], "v0")
+        counts.append(closed.agg(F.count(F.lit(1)).alias("count")).select(F.lit(length).alias("length"), "count"))
         if length == bound:
             break
         nxt = f"v{length}"
-        step = marked.select(F.col("src").alias("_s"), F.col("dst").alias(nxt), "cid")
-        paths = paths.join(step, F.col(path[-1]) == F.col("_s")).where(_apart(nxt, path) & later).select(*path, nxt, "own")
+        step = edges.select(F.col("src").alias("_s"), F.col("dst").alias(nxt))
+        paths = paths.join(step, F.col(path[-1]) == F.col("_s")).where(_apart(nxt, path)).select(*path, nxt)
+        paths = later(paths, path[-1], nxt)
         path.append(nxt)
         if length >= 4:
             paths, seen = measured(paths, "paths", F.count(F.lit(1)).alias("n"))
@@ -82,6 +89,11 @@ def cycles_through(edges: DataFrame, changed: DataFrame, bound: int) -> DataFram
     return out.where("count > 0")
 
 
+def _pairs(graph: Graph) -> DataFrame:
+    out = graph.edges.select("src", "dst")
+    return out.distinct() if graph.properties.parallel else out
+
+
 def _as_dict(hist: DataFrame) -> dict[int, int]:
     return {r["length"]: r["count"] for r in hist.collect()}  # at most one row for each length
 
@@ -119,8 +131,8 @@ class CycleHistogram(Result):
 
     def repaired(self, done: Commit) -> tuple[dict, Stats]:
         bound = min(self.options["max_length"], max(done.after.num_vertices, 2))
-        minus = _as_dict(cycles_through(done.before.edges, done.removed, bound))
-        plus = _as_dict(cycles_through(done.after.edges, done.added, bound))
+        minus = _as_dict(cycles_through(_pairs(done.before), done.removed, bound))
+        plus = _as_dict(cycles_through(_pairs(done.after), done.added, bound))
         new = {k: self.by_length.get(k, 0) - minus.get(k, 0) + plus.get(k, 0) for k in {*self.by_length, *minus, *plus}}
         if any(n < 0 for n in new.values()):
             raise Internal("a count below 0")

@@ -66,18 +66,17 @@ class HyperPaths(Result):
         heads = both(gained).select(F.col("dst").alias("id")).union(came).union(done.gained.where(F.col("v") == self.source).select(F.col("h").alias("id"))).distinct()
         gone = materialize(went.join(came, "id", "left_anti"), "gone")
         base = entries(new, self.source)
-        n_live = max(1, 2 * new.line_graph().count())
-        limit = Limit(opt["max_iterations"], "report")
+        n_arcs = 2 * new.line_graph().count()
+        limit = Limit(opt["max_iterations"], "report", int(opt["work_budget"] * max(1, n_arcs)))
         out = repair(self.state, arcs, roots, heads, base, gone, limit)
-        s, n_lost, n_gained = out.solved, lost.count(), gained.count()
-        over = "iterations" if not s.converged else "work_budget" if s.visits > opt["work_budget"] * n_live and s.rounds > 1 else "none"
-        more = {"line_graph_deletions": n_lost, "line_graph_insertions": n_gained, "fallback_reason": over if over == "iterations" else "none"}
+        s, over = out.solved, out.solved.stopped_by
+        more = {"line_graph_deletions": lost.count(), "line_graph_insertions": gained.count(), "fallback_reason": over}
         state = s.state
-        if over == "iterations":
+        if over != "none":
             if opt["on_budget"] == "error":
-                raise NotConverged("the update took more rounds than its budget")
+                raise NotConverged(f"the update went beyond its budget ({over}): {s.rounds} rounds, {s.visits} visits")
             state = solve(arcs, base).state
-        stats = Stats(out.invalidated, s.rounds, s.visits, over == "iterations", True, out.invalidated, done.summary, more | {"over_work_budget": over == "work_budget"})
+        stats = Stats(out.invalidated, s.rounds, s.visits, over != "none", True, out.invalidated, done.summary, more)
         return {"state": state}, stats
 
 
@@ -95,8 +94,8 @@ def _options(options: dict) -> dict:
 
 
 def compute(hypergraph: Hypergraph, source: int, **options) -> HyperPaths:
-    """Options: ``max_iterations`` (rounds of an update before ``on_budget`` acts: ``recompute`` or ``error``), ``work_budget`` (visits for each
-    line-graph entry; reported only, since a round is one job), ``validate_inputs``."""
+    """Options: ``max_iterations`` (rounds of an update before ``on_budget`` acts: ``recompute`` or ``error``), ``work_budget`` (visits of an
+    update for each line-graph entry; a round that would exceed it isn't begun), ``validate_inputs``."""
     opt = _options(options)
     if not 0 <= source < hypergraph.num_vertices:
         raise InvalidArgument(f"source {source} of {hypergraph.num_vertices} vertices")

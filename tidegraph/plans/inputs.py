@@ -34,7 +34,6 @@ e AS (
 n AS (SELECT max(p_partkey) AS top FROM part)"""
 
 #: The graph before and after the batch: residue 9 of k arrives, 0 goes, 5 grows by 3, 6 shrinks by 1.
-BEFORE = "g AS (SELECT * FROM e WHERE k % 10 <> 9)"
 WHOLE = "g AS (SELECT * FROM e)"
 AFTER = """g AS (
   SELECT src, dst, CASE k % 10 WHEN 5 THEN w0 + 3 WHEN 6 THEN greatest(w0 - 1, 1) ELSE w0 END AS w0,
@@ -84,8 +83,8 @@ def part_pairs(edges: DataFrame) -> DataFrame:
 PAIRS = "p AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, min(k) AS k FROM e GROUP BY 1, 2)"
 
 
-def incidences(spark: SparkSession, sf_dir: str, where: str = "l_orderkey % 10 = 0") -> DataFrame:
-    """(h, v): orders as hyperedges of their parts."""
+def incidences(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(h, v): orders (that fulfil ``where``) as hyperedges of their parts."""
     return table(spark, sf_dir, "lineitem").where(where).select(F.col("l_orderkey").alias("h"), F.col("l_partkey").alias("v")).distinct()
 
 
@@ -99,7 +98,8 @@ def order_hypergraph(spark: SparkSession, sf_dir: str, reuse: str = "erase_first
 
 
 def order_batch(spark: SparkSession, sf_dir: str, h: Hypergraph) -> HyperBatch:
-    """Every hundredth hyperedge goes, others lose their smallest member or gain the one after it, and the orders 1, 51, 101, ... arrive."""
+    """Every hundredth hyperedge goes, others lose their smallest member or gain the one after it, and the orders 1, 51, 101, ...
+    arrive once more, as new hyperedges."""
     ends = h.incidence.groupBy("h").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
     new = incidences(spark, sf_dir, "l_orderkey % 50 = 1").groupBy("h").agg(F.sort_array(F.collect_list("v")).alias("members"))
     top = h.num_vertices
@@ -111,7 +111,7 @@ def order_batch(spark: SparkSession, sf_dir: str, h: Hypergraph) -> HyperBatch:
 
 
 HYPER_BEFORE = """
-i0 AS (SELECT DISTINCT l_orderkey AS h, l_partkey AS v FROM lineitem WHERE l_orderkey % 10 = 0),
+i0 AS (SELECT DISTINCT l_orderkey AS h, l_partkey AS v FROM lineitem),
 nv AS (SELECT max(p_partkey) + 1 AS nv FROM part)"""
 
 HYPER_AFTER = HYPER_BEFORE + """,

@@ -58,14 +58,8 @@ def _all_parts(tree: str, missing: str = I.INFINITE_SQL) -> str:
 # shortest paths
 
 
-@query(f"WITH RECURSIVE {I.EDGES}, {I.BEFORE}, {_paths_sql('g', 'w0', '0')} {_all_parts('t0')}")
-def sssp_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, _ = I.part_graph(spark, sf_dir, where="k % 10 <> 9")
-    return sssp.compute(graph, SOURCE).tree()
-
-
 @query(f"WITH RECURSIVE {I.EDGES}, {I.WHOLE}, {_paths_sql('g', 'w0', '0')} {_all_parts('t0')}")
-def sssp_compute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sssp_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = I.part_graph(spark, sf_dir)
     return sssp.compute(graph, SOURCE).tree()
 
@@ -94,14 +88,8 @@ def _mosp_rows(result) -> DataFrame:
     return result.combined().join(result.path_costs(), "v")
 
 
-@query(_mosp_sql(I.BEFORE))
-def mosp_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, _ = I.part_graph(spark, sf_dir, 3, "k % 10 <> 9")
-    return _mosp_rows(mosp.compute(graph, SOURCE, preferences=PREFERENCES))
-
-
 @query(_mosp_sql(I.WHOLE))
-def mosp_compute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mosp_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = I.part_graph(spark, sf_dir, 3)
     return _mosp_rows(mosp.compute(graph, SOURCE, preferences=PREFERENCES))
 
@@ -119,14 +107,8 @@ def _bfs_sql(graph: str) -> str:
 SELECT v, distance AS level, parent FROM ({_all_parts('tb', '-1')})"""
 
 
-@query(_bfs_sql(I.BEFORE))
-def dynamic_bfs_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, _ = I.part_graph(spark, sf_dir, where="k % 10 <> 9")
-    return bfs.compute(graph, SOURCE).tree()
-
-
 @query(_bfs_sql(I.WHOLE))
-def dynamic_bfs_compute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dynamic_bfs_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = I.part_graph(spark, sf_dir)
     return bfs.compute(graph, SOURCE).tree()
 
@@ -193,21 +175,12 @@ def triangle_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(before, result.destroyed, result.created, result.total)], "before long, destroyed long, created long, after long")
 
 
-@query(f"""WITH RECURSIVE {I.EDGES}, x AS (SELECT src, dst FROM e WHERE w0 <= 1 UNION SELECT dst, src FROM e WHERE w0 <= 1),
-c(id, component) USING KEY (id) AS (
-  SELECT DISTINCT src, src FROM x
-  UNION SELECT x.dst, min(f.component) FROM c f JOIN x ON x.src = f.id JOIN recurring.c r ON r.id = x.dst WHERE f.component < r.component GROUP BY x.dst)
-SELECT id, component FROM c""")
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(I.part_edges(spark, sf_dir).where("w0 <= 1").select(F.col("src").alias("u"), F.col("dst").alias("v")))
-
-
 @query(f"""WITH RECURSIVE {I.EDGES}, x AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 c(id, component) USING KEY (id) AS (
   SELECT DISTINCT src, src FROM x
   UNION SELECT x.dst, min(f.component) FROM c f JOIN x ON x.src = f.id JOIN recurring.c r ON r.id = x.dst WHERE f.component < r.component GROUP BY x.dst)
 SELECT id, component FROM c""")
-def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(I.part_edges(spark, sf_dir).select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
@@ -289,7 +262,7 @@ SELECT a.h AS a, b.h AS b, count(*) AS overlap FROM i a JOIN i b ON a.v = b.v AN
 def line_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegraph.hypergraph import pairs_of
 
-    return pairs_of(I.incidences(spark, sf_dir, "true"))
+    return pairs_of(I.incidences(spark, sf_dir))
 
 
 _MASKS = ", ".join(f"({m}, {k})" for m, k in sorted(class_of_mask().items()))
