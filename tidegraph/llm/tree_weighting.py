@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import fold, groups, materialize, text_bytes
 
 DEPTH = 5  # bytes of context
+TOP = 3  # context bytes that decide a bucket; nodes of this depth and deeper are computed there
 END = 10  # ends a text; white space inside is one blank
 END_KEY = np.uint64(0x1234567)
 _LN2 = math.log(2)
@@ -143,47 +144,53 @@ class Level:
 
 
 def levels(keys: np.ndarray, counts: np.ndarray, bit: int) -> list[Level]:
-    """Depths 2 to DEPTH, weighted from the deepest up; ``keys`` hold whole subtrees of their first two context bytes."""
-    out = [Level(keys, counts, d, bit) for d in range(2, DEPTH + 1)]
+    """Depths TOP to DEPTH, weighted from the deepest up; ``keys`` hold whole subtrees of their first TOP context bytes."""
+    out = [Level(keys, counts, d, bit) for d in range(TOP, DEPTH + 1)]
     for upper, deeper in zip(out[-2::-1], out[:0:-1]):
         upper.weigh(deeper)
     return out
 
 
-def roots(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(context bytes and bit path, bit, zeros, ones, log weighted probability) of the nodes at depth 2."""
-    out = []
+def roots(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes at depth TOP - 1 (context bytes and bit path) and, summed over their children here, zeros, ones, log weighted probability."""
+    at, values = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
     for bit in range(8):
         top = levels(keys, counts, bit)[0]
-        out.append(np.column_stack([(top.path >> np.uint64(bit)).astype(float), (top.path & np.uint64(2**bit - 1)).astype(float) + 2**bit, top.a, top.b, top.log_w]))
-    return np.concatenate(out)
+        context, path = top.path >> np.uint64(bit + 8), (top.path & np.uint64(2**bit - 1)) + np.uint64(2**bit)
+        at.append((context << np.uint64(8) | path).astype(np.int64))
+        values.append(np.column_stack([top.a, top.b, top.log_w]))
+    return added(np.concatenate(at), np.concatenate(values))
+
 
+def added(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes in order, and the sums of their rows."""
+    nodes, inv = np.unique(at, return_inverse=True)
+    return nodes, np.column_stack([np.bincount(inv, weights=v, minlength=len(nodes)) for v in values.T])
 
-def upper_tables(root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Total count, estimate for a one, and weight of each node of depth 1 (context byte x path) and 0 (path). A fixed size."""
-    ctx, path = root[:, 0].astype(np.int64) >> 8, root[:, 1].astype(np.int64)
-    at = ctx * 256 + path
+
+def upper_tables(at: np.ndarray, sums: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For depths TOP - 1 to 0: the nodes (context bytes and path) in order, and their count, estimate for a one, and weight."""
     out = []
-    a, b, low = (np.bincount(at, weights=root[:, i], minlength=65536) for i in (2, 3, 4))
-    for _ in range(2):
+    for _ in range(TOP):
+        a, b, low = sums.T
         e = log_kt(a, b)
         w = np.logaddexp(e, low) - _LN2
-        out.append(np.stack([a + b, (b + 0.5) / (a + b + 1), np.exp(e - _LN2 - w)]))
-        if len(a) > 256:
-            a, b, low = (v.reshape(256, 256).sum(0) for v in (a, b, w))
-    return out[0], out[1]
+        out.append((at, np.stack([a + b, (b + 0.5) / (a + b + 1), np.exp(e - _LN2 - w)])))
+        at, sums = added((at >> 16) << 8 | (at & 255), np.column_stack([a, b, w]))
+    return out
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, upper: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, upper: list) -> np.ndarray:
     """log10 of the mixture's probability of each key's byte after its context: estimates of all depths at which the context was seen."""
     total = np.zeros(len(keys))
-    byte, last = (keys & np.uint64(255)).astype(np.int64), (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
+    byte, context = (keys & np.uint64(255)).astype(np.int64), (keys >> np.uint64(8)).astype(np.int64)
     for bit in range(8):
         one = ((byte >> (7 - bit)) & 1).astype(bool)
         path = (byte >> (8 - bit)) + (1 << bit)
         p, seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
         steps = [(v.a + v.b, (v.b + 0.5) / (v.a + v.b + 1), np.exp(v.log_e - (v.log_w + (_LN2 if i else 0))), v.of) for i, v in enumerate(reversed(levels(keys, counts, bit)))]
-        steps += [(*upper[0], last * 256 + path), (*upper[1], path)]
+        for depth, (at, values) in zip(range(TOP - 1, -1, -1), upper):
+            steps.append((*values, np.searchsorted(at, (context >> (8 * (DEPTH - depth))) << 8 | path)))
         for n, estimate, w, of in steps:
             kt = np.where(one, estimate[of], 1 - estimate[of])
             here = n[of] > 0
@@ -207,7 +214,7 @@ def counted(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(pid, bucket, piece): for each group of texts its keys with their counts in training texts, in buckets; words come after contexts."""
 
     def buckets_of(keys: np.ndarray, words: bool) -> np.ndarray:
-        head = keys if words else keys >> np.uint64(8 * (DEPTH - 1))
+        head = keys if words else keys >> np.uint64(8 * (DEPTH + 1 - TOP))
         return ((head * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(40)) % np.uint64(n_buckets)
 
     def run(batches):
@@ -259,7 +266,7 @@ def merged(pieces: DataFrame, n_groups: int, fan: int = 64) -> DataFrame:
 
 
 def lm_scores(
-    docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 16 << 20, n_buckets: int = 48,
+    docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 16 << 20, n_buckets: int | None = None,
 ) -> DataFrame:
     """log10 probabilities of whole texts under a context-tree weighting model and under smoothed word frequencies.
 
@@ -268,13 +275,15 @@ def lm_scores(
     weights that the training counts give them, leaving out depths at which a context was never seen. ``train`` is an SQL condition on
     ``docs``; every text counts, every text is scored. code length per byte is -score * log2(10) / n_bytes.
 
-    Texts are dealt to groups of about ``group_bytes`` by a hash of the id. A group's distinct keys go, packed in ``n_buckets`` pieces,
-    to where counts are summed (64 pieces at a time) and probabilities computed, and those of its own keys come back: no task needs the
-    whole model, and nothing that grows is broadcast or collected. Contexts are bucketed by their last two bytes, so subtrees stay
-    whole; what is above them has a fixed size (256 x 256 nodes) and is computed on the driver. Words travel as 64-bit hashes.
+    Texts are dealt to groups of about ``group_bytes`` by a hash of id and text. A group's distinct keys go, packed in ``n_buckets`` pieces
+    (default: in proportion to the root of the bytes, as distinct contexts grow more slowly than texts), to where counts are summed (64 pieces at a
+    time) and probabilities computed, and those of its own keys come back: no task needs the whole model. Contexts are bucketed by their last
+    three bytes, so subtrees stay whole and no common pair of bytes fills a bucket. What is above them, nodes of at most two context bytes, doesn't
+    grow with the input (at most 65,536 contexts of 255 nodes; some 10^5 in text): it is summed in tasks, weighed on the driver and broadcast.
+    Words travel as 64-bit hashes.
 
-    A null or empty text is its end alone. With no training text every bit has probability 1/2. Repeated rows count and are scored each;
-    null ids form one group; an empty table gives an empty result; other columns are ignored.
+    A null or empty text is its end alone. With no training text every bit has probability 1/2. Repeated rows count and are scored each (rows
+    equal in id and text are one group); an empty table gives an empty result; other columns are ignored.
 
     Returns doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
     """
@@ -282,7 +291,8 @@ def lm_scores(
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = groups(total, group_bytes)
-    src = src.withColumn("pid", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(n_groups)).cast("long"))
+    n_buckets = n_buckets or max(48, math.ceil(4 * math.sqrt(total / (1 << 20))))
+    src = src.withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("long"))
     pieces = materialize(counted(src.select("text", "train", "pid").repartition(max(n_groups, 1), "pid"), n_buckets), "lm-pieces")
     sums = materialize(merged(pieces, n_groups), "lm-sums")
 
@@ -290,14 +300,24 @@ def lm_scores(
         for b in batches:
             for bucket, piece in zip(b.column("bucket").to_pylist(), b.column("piece").to_pylist()):
                 keys, counts = unpacked(piece)
-                node = b"" if bucket >= n_buckets else roots(keys, counts).tobytes()
-                v, n = (int((counts > 0).sum()), int(counts.sum())) if bucket >= n_buckets else (0, 0)
-                yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([v]), pa.array([n])], names=["root", "v", "n"])
-
-    tops = sums.mapInArrow(summary, "root binary, v long, n long").collect()  # at most 65,536 contexts of 255 nodes, whatever the input
-    root = np.concatenate([np.frombuffer(r.root, np.float64).reshape(-1, 5) for r in tops] or [np.zeros((0, 5))])
-    upper = spark.sparkContext.broadcast(upper_tables(root))
-    n_train, v_train = sum(r.n for r in tops), sum(r.v for r in tops)
+                if bucket >= n_buckets:
+                    rows = [(-1, b"", b"", int((counts > 0).sum()), int(counts.sum()))]
+                else:
+                    at, sums_ = roots(keys, counts)
+                    part = at >> 8 & 15  # by the farther of the two bytes
+                    rows = [(int(i), at[part == i].tobytes(), sums_[part == i].tobytes(), 0, 0) for i in np.unique(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["part", "at", "sums", "v", "n"])
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, sums_ = added(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["at"]]), np.concatenate([np.frombuffer(x).reshape(-1, 3) for x in pdf["sums"]]))
+        return pd.DataFrame({"at": [at.tobytes()], "sums": [sums_.tobytes()], "v": [pdf["v"].sum()], "n": [pdf["n"].sum()]})
+
+    seen = materialize(sums.mapInArrow(summary, "part int, at binary, sums binary, v long, n long"), "lm-roots")
+    words = seen.where("part < 0").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    tops = seen.where("part >= 0").groupBy("part").applyInPandas(reduce, "at binary, sums binary, v long, n long").collect()  # 16 rows; see above for their size
+    at = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["at"], np.int64) for r in tops]])
+    upper = spark.sparkContext.broadcast(upper_tables(*added(at, np.concatenate([np.zeros((0, 3)), *[np.frombuffer(r["sums"]).reshape(-1, 3) for r in tops]]))))
+    n_train, v_train = words.n, words.v
     floor = n_train + 0.1 * (v_train + 1)
 
     def valued(batches):
