@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.store import materialize  # noqa: F401
@@ -36,6 +36,14 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     )
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let Arrow batches between the JVM and Python workers take ``size`` bytes at most, unless the session has a bound of its own: the default of
+    64 MB is held several times over in both, for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, str(size))
+
+
 def strings(arr: pa.Array, step: int = 4 << 20) -> Iterator[str | None]:
     """The strings of ``arr``, made a few MB at a time, so that a batch of long texts isn't held twice."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch, groups, strings
+from tidegraph.llm.common import batch, bounded_batches, groups, strings
 
 CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 WINDOW = 7
@@ -114,6 +114,7 @@ def show(f: tuple[int, str, str]) -> str:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of every whole text, in one scan. A null text counts as empty; its fingerprint has no chunks."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
@@ -132,6 +133,7 @@ def with_next(docs: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
     shuffled once.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("h", F.xxhash64("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), groups(size, part_bytes))

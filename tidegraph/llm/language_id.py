@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch, fold, materialize, text_bytes
+from tidegraph.llm.common import batch, bounded_batches, fold, materialize, text_bytes
 
 BLOCK = 256
 _MISS = 1 << 30
@@ -189,6 +189,7 @@ def language_samples(docs: DataFrame, docs_each: int, chars_each: int, chars: in
     ``docs``: doc_id, text, lang. Texts come in the order of a hash, which also says where a stretch lies; copies share a hash and count once. The
     hash's range is narrowed first, so no language is sorted whole.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     count = materialize(known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n")), "languages")  # its size is known before the join
     h = F.xxhash64("text", F.lit(5))

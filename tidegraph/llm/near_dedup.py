@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch, materialize, spare, strings, word_lists
+from tidegraph.llm.common import batch, bounded_batches, materialize, spare, strings, word_lists
 from tidegraph.operators.components import connected_components
 
 BINS = 128
@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = materialize(signed(src, width, rows), "near-signatures")
     linked = marks.where("n > 0 AND doc_id IS NOT NULL")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.bpe import Ids, vocabulary
-from tidegraph.llm.common import batch, groups, materialize, strings, texts
+from tidegraph.llm.common import batch, bounded_batches, groups, materialize, strings, texts
 from tidegraph.llm.sharding import ranked
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence (largest first), and how many such sequences
@@ -167,6 +167,7 @@ def pack(
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     cut = materialize(pieces(texts(docs, id_col, text_col), cap, vocab or vocabulary(), end_id), "pack-pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``cap`` rows
     plan = runs(completion(counts, cap))

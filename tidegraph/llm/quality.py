@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import batch, fold, materialize, strings
+from tidegraph.llm.common import batch, bounded_batches, fold, materialize, strings
 from tidegraph.store import discard
 
 WIDTH = 64
@@ -171,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int, words: int, hidden: i
     Of rows that repeat a labelled id one counts, by a hash of the text. The driver gets the ``words`` most frequent tokens, sums of index vectors
     (a row for each of them from each task), and one pooled vector for each labelled row.
     """
+    bounded_batches(docs.sparkSession)
     picked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_rows).select(F.col("doc_id").alias("labelled"), "quality")
     rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))

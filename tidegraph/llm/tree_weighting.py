@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import fold, groups, materialize, text_bytes
+from tidegraph.llm.common import bounded_batches, fold, groups, materialize, text_bytes
 
 DEPTH = 5  # bytes of context
 TOP = 3  # context bytes that decide a bucket; nodes of this depth and deeper are computed there
@@ -288,6 +288,7 @@ def lm_scores(
     Returns doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = groups(total, group_bytes)
