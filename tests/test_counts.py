@@ -3,12 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.errors import InvalidArgument, OutOfRange, Unsupported
 from tidegraph.functions.motifs import CLASSES, class_of_mask
 from tidegraph.graph import EdgeBatch, Graph, Properties, Semantics
 from tidegraph.hypergraph import HyperBatch, HyperProperties, Hypergraph
 from tidegraph.operators import cycles, hyper_sssp, patterns, triads, triangles
+from tidegraph.operators.problems import AggregateDeltaProblem
 from tidegraph.sources import generators
 from tidegraph.testing import oracles
 from tidegraph.update import update
@@ -194,3 +196,31 @@ def test_hyperpaths_over_two_batches(spark):
         assert vertex[0] == 0 and all(vertex[v] == min([dist[k] for k, m in model.live.items() if v in m and k in dist], default=2**61 - 1) for v in range(1, 12))
     with pytest.raises(OutOfRange):
         h.apply(HyperBatch.of(spark, insert=[[99]], weights=[1]))
+
+
+class Wedges(AggregateDeltaProblem):
+    """Paths a -> b -> c by their middle's id modulo 3; ``through`` counts each at its smallest changed edge."""
+
+    name = "wedges"
+
+    def _paths(self, edges):
+        return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(edges.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
+
+    def total(self, graph):
+        return self._paths(graph.edges).groupBy((F.col("b") % 3).alias("bin")).agg(F.count(F.lit(1)).alias("value"))
+
+    def through(self, graph, changed):
+        mark = changed.select("src", "dst").withColumn("hit", F.lit(True))
+        paths = self._paths(graph.edges)
+        for u, v in ("ab", "bc"):
+            paths = paths.join(mark.select(F.col("src").alias(u), F.col("dst").alias(v), F.col("hit").alias(u + v)), [u, v], "left")
+        return paths.where("ab OR bc").groupBy((F.col("b") % 3).alias("bin")).agg(F.count(F.lit(1)).alias("value"))
+
+
+def test_a_new_delta_problem(spark):
+    g = Graph.from_edges(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 3)], "src long, dst long"), 6, Properties(semantics=Semantics.sets()))
+    problem = Wedges()
+    result = problem.compute(g)
+    for ins, dels in (([(3, 4), (4, 1)], [(1, 2)]), ([(1, 2), (5, 5)], [(0, 1), (3, 4), (9, 9)])):
+        problem.update(g, EdgeBatch.of(spark, ins, dels), result)
+        assert result.by_bin == problem.compute(g).by_bin and result.graph_version == g.version

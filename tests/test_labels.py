@@ -11,7 +11,7 @@ from tidegraph.operators import labels
 from tidegraph.operators.components import connected_components
 from tidegraph.operators.knn import knn_graph, nearest_by_cosine
 from tidegraph.sources.generators import vertex_arrivals
-from tidegraph.testing.oracles import harmonic_labels
+from tidegraph.testing.oracles import harmonic_labels, propagated_labels
 from tidegraph.update import update
 
 
@@ -133,6 +133,22 @@ def test_seeds_of_both_classes_and_isolated_vertices(spark):
     assert np.allclose(got, want, atol=1e-4) and got[0] == 0.0 and got[3] == got[7] == 1.0 and got[4] == got[5] == got[8] == 0.5
 
 
+@pytest.mark.parametrize("schedule", ["damped", "in_place"])
+def test_rounds_follow_the_plain_model(spark, schedule):
+    rng = np.random.default_rng(6)
+    pairs = {tuple(sorted(map(int, rng.choice(40, 2, replace=False)))): float(np.float32(rng.uniform(0.1, 1))) for _ in range(90)}
+    arcs = [(u, v, w) for u, v, w in ((a, b, w) for (a, b), w in pairs.items())] + [(b, a, w) for (a, b), w in pairs.items()]
+    seeds = {0: 0, 1: 1, 2: 1}
+    first = {v: float(seeds.get(v, 0.5)) for v in range(40)}
+    free, front = set(range(40)) - set(seeds) - {39}, set(range(3, 30))
+    want, rounds = propagated_labels(arcs, first, free, front, 1e-3, schedule, 5)
+    rows = [(v, first[v], seeds.get(v, -1), v != 39, v in front) for v in range(40)]
+    state = spark.createDataFrame(rows, "id long, label float, seed int, active boolean, front boolean")
+    got, n, _, done = labels.propagate(spark.createDataFrame(arcs, "src long, dst long, w float"), state, schedule, 1e-3, 1_000, 5)
+    assert done and n == rounds
+    assert all(abs(r.label - want[r.id]) < 1e-6 for r in got.collect())
+
+
 def test_limits_and_options(spark):
     edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.5)], "src long, dst long, w0 float")
     from tidegraph.plans.registry import SIMILAR

@@ -8,7 +8,8 @@ from tidegraph.errors import InvalidArgument, OutOfRange, StaleResult
 from tidegraph.fixpoint import INFINITE
 from tidegraph.graph import EdgeBatch, Graph, Properties, Semantics
 from tidegraph.operators import bfs, mosp, sssp
-from tidegraph.testing.oracles import dijkstra, upsert
+from tidegraph.operators.problems import FixedPointProblem
+from tidegraph.testing.oracles import combined_paths, dijkstra, upsert
 from tidegraph.update import update
 
 
@@ -176,3 +177,43 @@ def test_queries_of_the_whole_part_graph_match_their_sql(spark, sf, name):
     got = registry.queries()[name](spark, sf)
     rows = db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
+
+
+class NearestDepot(FixedPointProblem):
+    """Cheapest way from any of several depots, each with a charge of its own."""
+
+    name = "nearest_depot"
+
+    def __init__(self, depots):
+        self.depots = depots
+
+    def arcs(self, graph):
+        return graph.arcs(0)
+
+    def base(self, graph):
+        return graph.spark.createDataFrame(list(self.depots.items()), "id long, distance long")
+
+
+def test_a_new_fixed_point_problem(spark):
+    rng = random.Random(3)
+    rows = list({(rng.randrange(20), rng.randrange(20)): rng.randint(1, 9) for _ in range(50)}.items())
+    g = graph_of(spark, [(u, v, w) for (u, v), w in rows], 20)
+    problem = NearestDepot({0: 3, 7: 0, 19: 12})
+    result = problem.compute(g)
+    for _ in range(2):
+        left = [tuple(r) for r in g.edges.select("src", "dst", "w0").collect()]
+        ins, dels = random_batch(rng, left, 20, 1, 5)
+        problem.update(g, EdgeBatch.of(spark, ins, dels), result)
+        arcs = cheapest([tuple(r) for r in g.edges.select("src", "dst", "w0").collect()])
+        want, _ = dijkstra(21, arcs | {(20, d): max(c, 0) for d, c in problem.depots.items()}, 20)
+        assert {r.id: r.distance for r in result.state.collect()} == {v: d for v, d in enumerate(want[:20]) if d < INFINITE}
+
+
+def test_the_combination_of_trees_follows_the_plain_model(spark):
+    rng = random.Random(8)
+    rows = list({(rng.randrange(15), rng.randrange(15)): (rng.randint(1, 9), rng.randint(1, 9), rng.randint(1, 9)) for _ in range(45)}.items())
+    g = graph_of(spark, [(u, v, *w) for (u, v), w in rows], 15, k=3)
+    result = mosp.compute(g, 0, preferences=[4, 1, 2])
+    trees = [[r.parent for r in sorted(result.tree(k).collect())] for k in range(3)]
+    dist, parent = combined_paths(15, trees, [4, 1, 2], 0)
+    assert [(r.distance, r.parent) for r in sorted(result.combined().collect())] == list(zip(dist, parent))

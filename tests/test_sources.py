@@ -149,6 +149,22 @@ def test_binary_files(spark, tmp_path):
     ops = sorted((r.batch, r.op, r.src, r.dst) for r in binary.read_binary_operations(spark, g).collect())
     assert ops == [(0, "+e", 0, 1), (0, "+v", 7, 1), (0, "-e", 2, 3), (0, "-v", 8, None)]
     assert isinstance(records[0].batch(spark), HyperBatch)
+    ops = [(r.batch, r.op, r.src, r.dst, r.members, r.w) for r in binary.read_binary_operations(spark, path).orderBy("batch", "op", "seq").collect()]
+    assert ops == [(0, "+h", None, None, [0, 2], [3.0]), (0, "+h", None, None, [7], [1.0]), (0, "+i", 2, 1, None, None), (0, "-h", 4, None, None, None), (0, "-i", 2, 7, None, None)]
+
+
+def test_binary_files_are_read_record_by_record(spark, tmp_path, monkeypatch):
+    several = tmp_path / "several"
+    several.mkdir()
+    for i in range(2):
+        part = [binary.GraphRecord(0, np.zeros((0, 2), np.int64), np.array([[i, j]] * 4000, np.int64)) for j in range(3)]
+        binary.write_binary(spark, str(several / f"{i}.dgb"), part)
+    read = []
+    plain = binary.Opened.read
+    monkeypatch.setattr(binary.Opened, "read", lambda self, n: read.append(n) or plain(self, n))
+    found = binary.records(spark, str(several))
+    assert next(found).insert[0].tolist() == [0, 0] and sum(read) < 4000 * 16 + 200
+    assert [r.insert[0].tolist() for r in found] == [[0, 1], [0, 2], [1, 0], [1, 1], [1, 2]]
 
 
 def test_hypergraph_files(spark, tmp_path):

@@ -11,12 +11,14 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.errors import EngineError, InvalidArgument
-from tidegraph.graph import Graph, Properties
+from tidegraph.graph import EdgeBatch, Graph, Properties
 from tidegraph.operators import bfs, cycles, hyper_sssp, labels, mosp, sssp, triads, triangles
 from tidegraph.plans import registry
 from tidegraph.sources import batches as B
@@ -55,22 +57,23 @@ def load_graph(spark: SparkSession, a: argparse.Namespace, preset: str) -> Graph
     return graphs.read_edge_list(spark, a.graph, a.num_weights or 0, a.ids, a.index_base, a.symmetrize, not a.keep_self_loops, a.duplicates, properties=props)[0]
 
 
-def load_batches(spark: SparkSession, a: argparse.Namespace) -> list:
+def load_batches(spark: SparkSession, a: argparse.Namespace) -> Iterator[EdgeBatch]:
+    """The batches that the arguments name, each made when it is asked for."""
     if a.changes:
-        return [B.read_pair_files(spark, f"{a.changes}/insert.txt", f"{a.changes}/delete.txt")]
+        yield B.read_pair_files(spark, f"{a.changes}/insert.txt", f"{a.changes}/delete.txt")
+        return
     if a.insert or a.delete:
         if not (a.insert and a.delete):
             raise InvalidArgument("--insert and --delete go together")
-        return [B.read_pair_files(spark, a.insert, a.delete)]
-    out = []
+        yield B.read_pair_files(spark, a.insert, a.delete)
+        return
     for path in a.batch or []:
         if path.endswith(".dgb"):
-            out += [r.batch(spark) for r in binary.read_binary(spark, path)]
+            yield from (r.batch(spark) for r in binary.records(spark, path))
         elif path.endswith(".dgt"):
-            out += [b for _, b in B.read_batches(spark, path)]
+            yield from (b for _, b in B.read_batches(spark, path))
         else:
-            out.append(B.read_signed_lines(spark, path))
-    return out
+            yield B.read_signed_lines(spark, path)
 
 
 def _graph_command(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -88,7 +91,9 @@ def _graph_command(spark: SparkSession, a: argparse.Namespace) -> int:
         result = cycles.compute(g, a.max_length or max(2, g.num_vertices))
     if a.task == "update":
         todo = load_batches(spark, a)
-        if name == "cycle_count" and not todo:
+        first = next(todo, None)
+        todo = chain([first], todo) if first is not None else []
+        if name == "cycle_count" and first is None:
             todo = [generators.cycle_changes(g, a.num_deletions, a.num_insertions, a.seed, a.locality_window)]
         began = time.perf_counter()
         toward(todo, g, result)
@@ -132,7 +137,7 @@ def _hyper_command(spark: SparkSession, a: argparse.Namespace) -> int:
     deltas = []
     if a.task == "update":
         for path in a.batches or []:
-            todo = [r.batch(spark) for r in binary.read_binary(spark, path)] if path.endswith(".dgb") else [b for _, b in B.read_hyperedge_batches(spark, path, weighted)]
+            todo = (r.batch(spark) for r in binary.records(spark, path)) if path.endswith(".dgb") else [b for _, b in B.read_hyperedge_batches(spark, path, weighted)]
             for b in todo:
                 update(h, b, result)
                 if not weighted:

@@ -18,6 +18,8 @@ from tidegraph.store import counted, discard, materialize, measured
 NONE = -1
 INFINITE = 2**61 - 1  # distance of an unreached node in results and files
 STATE = "id long, distance long, parent long"
+WIDE_FRONT = 200_000  # nodes from which on arcs are dealt by their source
+MOST_CHANGES = 50_000  # rows that may have changed, however small the state is, before they join it
 
 
 @dataclass(frozen=True)
@@ -46,53 +48,81 @@ def pair(distance: str, parent: str) -> Column:
     return F.struct(F.col(distance).alias("distance"), F.col(parent).alias("parent"))
 
 
-def better(state: DataFrame, offers: DataFrame) -> DataFrame:
-    """(id, distance, parent, moved): each node's smallest pair; ``moved`` where the distance has dropped. ``offers``: (node, o), any number.
-
-    State and offers are one grouping by node, reduced before its one shuffle.
-    """
-    own = state.select("id", pair("distance", "parent").alias("s"), F.col("distance").alias("was"))
-    new = offers.select(F.col("node").alias("id"), F.col("o").alias("s"), F.lit(None).cast("long").alias("was"))
-    both = own.union(new).groupBy("id").agg(F.min("s").alias("s"), F.max("was").alias("was"))
-    return both.select("id", "s.distance", "s.parent", (F.col("was").isNull() | (F.col("s.distance") < F.col("was"))).alias("moved"))
+def _merged(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """(id, distance, parent): each node's smaller pair of the two."""
+    both = base.select("id", pair("distance", "parent").alias("s")).union(delta.select("id", pair("distance", "parent").alias("s")))
+    return both.groupBy("id").agg(F.min("s").alias("s")).select("id", "s.distance", "s.parent")
 
 
-def relax(arcs: DataFrame, state: DataFrame, limit: Limit = Limit()) -> Solved:
-    """Rounds of offers from the nodes that ``moved`` until none does. ``state``: (id, distance, parent, moved).
+def relax(arcs: DataFrame, base: DataFrame, offers: DataFrame, limit: Limit = Limit()) -> Solved:
+    """Rounds of offers to nodes until none moves any more. ``base``: (id, distance, parent), ``offers``: (node, o), the first of them.
 
-    Arcs are dealt by their source once and kept for all rounds (what an executor loses is read again), so only the front and the offers
-    travel. Offers to a node are reduced to their minimum before the shuffle, so a hub receives one row from each task. A round writes the
-    state and reads the number of moved nodes off the same job.
+    ``base`` is dealt and ordered by node once and kept; what has changed since is a table of its own, and that is all that a round writes: the best
+    offers to each node, reduced before their shuffle (a hub receives one row from each task), are held against it and against ``base``
+    where it lies. When the changes outgrow ``base`` they become part of it. Arcs are kept as they are while the front is small; a large front
+    deals them by their source, once. What an executor loses of kept tables is read again. The number of moved nodes comes off the round's job.
     """
     spark = arcs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = F.count(F.lit(1)).alias("rows")
     moved = F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("n")
-    cur, seen = measured(state, "relax", moved)
-    held = arcs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.MEMORY_AND_DISK)
-    rounds = visits = 0
+    base, n_base = counted(base.select("id", "distance", "parent"), "relax-base")
+    kept = [arcs.persist(StorageLevel.MEMORY_AND_DISK)]
+    dealt = None
+
+    def keep(rows: DataFrame) -> DataFrame:
+        kept.append(rows.repartition(parts, "id").sortWithinPartitions("id").persist(StorageLevel.MEMORY_AND_DISK))
+        return kept[-1]
+
+    at_hand = keep(base)
+    delta = spark.createDataFrame([], STATE + ", moved boolean")
+    n_delta = rounds = visits = 0
     try:
-        while seen["n"]:
+        while True:
+            best = offers.groupBy("node").agg(F.min("o").alias("o"))
+            known = at_hand.select(F.col("id").alias("b"), pair("distance", "parent").alias("own"))
+            better = best.join(known, F.col("node") == F.col("b"), "left").where("own IS NULL OR o < own")
+            new = better.select(F.col("node").alias("id"), F.col("o").alias("s"), F.col("own.distance").alias("was"))
+            both = delta.select("id", pair("distance", "parent").alias("s"), F.col("distance").alias("was")).union(new).groupBy("id").agg(F.min("s").alias("s"), F.min("was").alias("was"))
+            nxt, seen = measured(both.select("id", "s.distance", "s.parent", (F.col("was").isNull() | (F.col("s.distance") < F.col("was"))).alias("moved")), "relax", moved, count)
+            if n_delta:
+                discard(delta)
+            delta, n_delta = nxt, seen["rows"]
+            if not seen["n"]:
+                return Solved(materialize(_merged(base, delta), "relaxed") if n_delta else base, rounds, visits)
             over = "iterations" if rounds >= limit.rounds else "work_budget" if limit.visits is not None and visits + seen["n"] > limit.visits else None
             if over:
                 if limit.policy == "error":
                     raise NotConverged(f"no fixed point after {rounds} rounds and {visits} visits")
-                return Solved(cur.drop("moved"), rounds, visits, False, over)
+                return Solved(materialize(_merged(base, delta), "relaxed"), rounds, visits, False, over)
             visits += seen["n"]
             rounds += 1
-            front = cur.where("moved").select(F.col("id").alias("src"), "distance")
+            if dealt is None and seen["n"] > WIDE_FRONT:
+                dealt = arcs.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(dealt)
+            front = delta.where("moved").select(F.col("id").alias("src"), "distance")
             offer = F.struct((F.col("distance") + F.col("w")).cast("long").alias("distance"), F.col("src").alias("parent"))
-            offers = held.join(front, "src").select(F.col("dst").alias("node"), offer.alias("o"))
-            nxt, seen = measured(better(cur.drop("moved"), offers), "relax", moved)
-            discard(cur)
-            cur = nxt
+            offers = (arcs if dealt is None else dealt).join(front, "src").select(F.col("dst").alias("node"), offer.alias("o"))
+            if n_delta > max(MOST_CHANGES, n_base):
+                merged, n_base = counted(_merged(base, delta), "relax-base")
+                kept.remove(at_hand)
+                at_hand.unpersist()
+                base, at_hand = merged, keep(merged)
+                front_rows = materialize(delta.where("moved"), "relax")  # the front alone: its values are in the base now
+                discard(delta)
+                delta, n_delta = front_rows, seen["n"]
+                front = delta.select(F.col("id").alias("src"), "distance")
+                offers = (arcs if dealt is None else dealt).join(front, "src").select(F.col("dst").alias("node"), offer.alias("o"))
     finally:
-        held.unpersist()
-    return Solved(cur.drop("moved"), rounds, visits)
+        for rows in kept:
+            rows.unpersist()
 
 
 def solve(arcs: DataFrame, base: DataFrame, limit: Limit = Limit()) -> Solved:
     """The fixed point from ``base`` (id, distance; parent -1)."""
-    start = base.select(F.col("id").cast("long"), F.col("distance").cast("long"), F.lit(NONE).cast("long").alias("parent"), F.lit(True).alias("moved"))
-    return relax(arcs, start, limit)
+    none = arcs.sparkSession.createDataFrame([], STATE)
+    first = base.select(F.col("id").cast("long").alias("node"), F.struct(F.col("distance").cast("long").alias("distance"), F.lit(NONE).cast("long").alias("parent")).alias("o"))
+    return relax(arcs, none, first, limit)
 
 
 def subtree(state: DataFrame, roots: DataFrame) -> DataFrame:
@@ -136,7 +166,7 @@ def repair(state: DataFrame, arcs: DataFrame, roots: DataFrame, heads: DataFrame
     pulls = pulls.select(F.col("dst").alias("node"), (F.col("distance") + F.col("w")).cast("long").alias("distance"), F.col("src").alias("parent"))
     own = base.join(seeds, "id", "left_semi").select(F.col("id").alias("node"), F.col("distance").cast("long"), F.lit(NONE).cast("long").alias("parent"))
     offers = pulls.unionByName(own).select("node", pair("distance", "parent").alias("o"))
-    out = relax(arcs, better(kept, offers), limit)
+    out = relax(arcs, kept, offers, limit)
     new = out.state.select(F.col("id").alias("i"), F.col("distance").alias("d"), F.col("parent").alias("p"))
     same = F.col("distance").eqNullSafe(F.col("d")) & F.col("parent").eqNullSafe(F.col("p"))
     affected = state.join(new, F.col("id") == F.col("i"), "full_outer").where(~same).count()

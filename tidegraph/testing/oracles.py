@@ -207,3 +207,52 @@ def harmonic_labels(n: int, arcs: list[tuple[int, int, float]], seeds: dict[int,
         a = np.diag(d) - w[np.ix_(free, free)]
         out[free] = np.linalg.solve(a, w[np.ix_(free, fixed)] @ out[fixed])
     return out.tolist()
+
+
+def combined_paths(n: int, trees: list[list[int]], preferences: list[int], source: int) -> tuple[list[int], list[int]]:
+    """Distances and parents on the combination of the objectives' trees (parents of each): an arc costs scale * (K + 1) less scale / preference for
+    each tree that has it."""
+    import math
+
+    scale, arcs = math.lcm(*preferences), {}
+    for parents, p in zip(trees, preferences):
+        for v, u in enumerate(parents):
+            if u >= 0:
+                arcs[(u, v)] = arcs.get((u, v), scale * (len(trees) + 1)) - scale // p
+    return dijkstra(n, arcs, source)
+
+
+def propagated_labels(arcs: list[tuple[int, int, float]], labels: dict[int, float], free: set[int], front: set[int], tolerance: float, schedule: str, tag: int = 0, max_rounds: int = 10_000) -> tuple[dict[int, float], int]:
+    """Rounds over a front on dictionaries, in single precision: ``damped`` or ``in_place``, as ``operators.labels.propagate``; and their number."""
+    import numpy as np
+
+    near: dict[int, list[tuple[int, float]]] = {}
+    for u, v, w in arcs:
+        near.setdefault(u, []).append((v, w))
+
+    def half(v: int) -> int:
+        x = (v ^ (tag * 0x9E3779B9)) & 0xFFFFFFFF
+        x ^= x >> 16
+        x = x * 0x7FEB352D & 0xFFFFFFFF
+        x ^= x >> 15
+        x = x * 0x846CA68B & 0xFFFFFFFF
+        x ^= x >> 16
+        return x & 1
+
+    now, rounds = {v: np.float32(x) for v, x in labels.items()}, 0
+    front = front & free
+    while front and rounds < max_rounds:
+        was = dict(now)
+        for turn in (None,) if schedule == "damped" else (0, 1):
+            seen = dict(now)
+            for v in front:
+                total = sum(w for _, w in near.get(v, ()))
+                if v not in near or turn is not None and half(v) != turn:
+                    continue
+                goal = sum(w * float(seen[u]) for u, w in near[v]) / total if total > 1e-10 else float(seen[v])
+                goal = (float(seen[v]) + goal) / 2 if turn is None else goal
+                now[v] = np.float32(max(0.0, min(1.0, goal)))
+        moved = {v for v in front if float(abs(now[v] - was[v])) > tolerance}
+        front = (moved | {u for v in moved for u, _ in near.get(v, ())}) & free
+        rounds, tag = rounds + 1, tag + 1
+    return {v: float(x) for v, x in now.items()}, rounds
