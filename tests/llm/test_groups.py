@@ -345,19 +345,49 @@ def test_neighbours_of_odd_vectors(spark):
 
 
 def test_pipeline_stages(spark, sf, documents):
+    """Each stage on what its predecessor kept: the filters against scores and all pairs, the mix against SQL, the packing against its laws."""
+    import duckdb
+
     import corpus_pipeline as p
+    from tests.llm.test_tokens import packed_well
+    from tidegraph.llm.language_id import identify
+    from tidegraph.llm.mixing import ORACLE
+    from tidegraph.llm.quality import quality_scores
+
+    stages, docs = dict(p.STAGES), documents
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
 
-    docs = documents
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, sf)
+    def step(name):
+        out = stages[name](spark, docs, sf)
         assert out.columns == documents.columns
-        assert name == "mix_sources" or out.count() <= docs.count()
-        docs = out
-    ids = Counter(r.doc_id for r in docs.collect())
+        return spark.createDataFrame(out.collect(), documents.schema)
+
+    scores = {r.doc_id: r.score for r in quality_scores(documents, labels).collect()}
+    good = step("quality_classifier")
+    assert {r.doc_id for r in good.collect()} == {i for i, s in scores.items() if s >= 0.3}
+    docs, found = good, {r.doc_id: r for r in identify(good).collect()}
+    known = step("language_id")
+    assert {r.doc_id for r in known.collect()} == {i for i, r in found.items() if r.lang_pred != "und" and r.score >= 0.5}
+    docs, component = known, groups_of([(r.doc_id, r.text) for r in known.collect()], 5)
+    once = step("minhash_near_dedup")
+    assert {r.doc_id for r in once.collect()} == {r.doc_id for r in known.collect() if component.get(r.doc_id, r.doc_id) == r.doc_id}
+    docs = once
+    mixed = step("mix_sources")
+    db = duckdb.connect()
+    db.register("documents", once.toPandas())
+    want = {i: taken // size for i, size, taken in db.execute(f"SELECT doc_id, size, taken FROM ({ORACLE})").fetchall() if taken}
+    assert Counter(r.doc_id for r in mixed.collect()) == want
+    docs = mixed
+    packed_well(stages["best_fit_packing"](spark, docs, sf).collect(), mixed.collect(), 1024)
     rows = p.run(spark, sf).collect()
-    assert set(r.doc_id for r in rows) == set(ids)
-    assert sum(r.piece == 0 for r in rows) == sum(ids.values())
-    held = {}
-    for r in rows:
-        held[r.sequence_id] = held.get(r.sequence_id, 0) + r.length
-    assert max(held.values()) <= 1024
+    assert Counter(r.doc_id for r in rows if r.piece == 0) == want
+
+
+def test_pipeline_stages_of_odd_and_empty_tables(spark, sf, odd, empty):
+    import corpus_pipeline as p
+
+    for first in (odd, empty):
+        docs = first
+        for _, stage in p.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, sf).collect(), first.schema)
+        assert p.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
