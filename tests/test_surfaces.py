@@ -11,7 +11,7 @@ from tidegraph.graph import EdgeBatch, Graph, Properties
 from tidegraph.hypergraph import HyperProperties, Hypergraph
 from tidegraph.operators import cycles, sssp
 from tidegraph.profiler import profile
-from tidegraph.sources import generators
+from tidegraph.sources import generators, results
 from tidegraph.streaming import runner, snapshots
 from tidegraph.update import stats_frame
 
@@ -117,11 +117,23 @@ def test_the_command_line(spark, tmp_path, capsys):
     assert sum(json.loads(capsys.readouterr().out)["counts"]) == 4
     assert cli.main(["convert", "--graph", g, "--num-weights", "1", "--output", str(tmp_path / "o.mtx")], spark) == 0
     assert (tmp_path / "o.mtx").read_text().splitlines()[1] == "4 4 5"
+    assert cli.main(["generate", "hyperedge_batch", "--hypergraph", str(tmp_path / "h.hg"), "--mix", "insert_only", "--output", str(tmp_path / "m.dgt")], spark) == 0
+    assert (tmp_path / "m.dgt").read_text().count("+h") == 4
     (tmp_path / "bad.txt").write_text("0 x\n")
     assert cli.main(["dynamic_bfs", "compute", "--graph", str(tmp_path / "bad.txt")], spark) == 1
     assert len(cli.algorithms()) == 8
 
 
+def test_stream_files(spark, tmp_path):
+    out = str(tmp_path / "stream")
+    assert cli.main(["generate", "vertex_arrivals", "--total-vertices", "30", "--average-degree", "3", "--num-batches", "2", "--seed", "4", "--output", out], spark) == 0
+    stream = generators.vertex_arrivals(spark, 30, 3, 2, 4)
+    facts = json.loads((tmp_path / "stream" / "stream.json").read_text())
+    assert (facts["num_vertices"], facts["num_batches"], facts["num_edges"]) == (30, 2, stream.edges.count())
+    assert sorted(map(tuple, results.read_classes(spark, f"{out}/true_labels.txt").collect())) == sorted(map(tuple, stream.true_labels().collect()))
+    assert sorted(map(tuple, results.read_capacities(spark, f"{out}/row_capacity.txt").collect())) == sorted(map(tuple, stream.row_capacity().collect()))
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

@@ -215,6 +215,18 @@ def _generate(spark: SparkSession, a: argparse.Namespace) -> int:
         s = generators.vertex_arrivals(spark, a.total_vertices, a.average_degree, a.num_batches, a.seed)
         B.write_batches(spark, f"{a.output}/batches.dgt", s.batches())
         s.operations().write.mode("overwrite").partitionBy("batch").parquet(f"{a.output}/operations")
+        results.write_classes(s.true_labels(), f"{a.output}/true_labels.txt")
+        results.write_capacities(s.row_capacity(), f"{a.output}/row_capacity.txt")
+        options = {k: getattr(a, k) for k in ("total_vertices", "average_degree", "num_batches", "seed")}
+        _put(spark, f"{a.output}/stream.json", results.stream_json(s, options))
+        return 0
+    if a.generator == "hyperedge_batch":
+        h = hypergraphs.read_hypergraph(spark, a.hypergraph, index_base=a.index_base).hypergraph
+        if a.deletions or a.insertions:
+            batch = generators.closed_batch(h, a.deletions, a.insertions, a.least, a.most, a.sample, a.seed)
+        else:
+            batch = generators.hyperedge_batch(h, a.mix, a.size, a.least, a.most, a.seed)
+        B.write_hyperedge_batches(spark, a.output, [batch])
         return 0
     if a.generator == "uniform_hypergraph":
         inc = generators.uniform_hypergraph(spark, a.num_vertices, a.num_hyperedges, a.least, a.most, a.seed)
@@ -326,6 +338,13 @@ def parser() -> argparse.ArgumentParser:
     for flag, value in (("--num-vertices", 100), ("--num-hyperedges", 100), ("--least", 1), ("--most", 4), ("--seed", 1)):
         g.add_argument(flag, type=int, default=value)
     g.add_argument("--output", required=True)
+    g = gen.add_parser("hyperedge_batch")
+    g.add_argument("--hypergraph", required=True)
+    g.add_argument("--mix", default="mixed")
+    for flag, value in (("--index-base", 1), ("--size", 4), ("--deletions", 0), ("--insertions", 0), ("--least", 1), ("--most", 4), ("--seed", 1)):
+        g.add_argument(flag, type=int, default=value)
+    g.add_argument("--sample", action="store_true")
+    g.add_argument("--output", required=True)
     g = gen.add_parser("path_changes")
     graph_flags(g, False)
     for flag, value in (("--num-changes", 0), ("--low", 1), ("--high", 100), ("--seed", 1), ("--local-hops", 0), ("--source", 0)):

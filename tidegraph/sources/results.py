@@ -76,6 +76,26 @@ def write_labels(labels: DataFrame, path: str, single: bool = True) -> None:
     _write(labels, path, F.bround(exact, 6).cast("decimal(38,6)").cast("string"), single=single)
 
 
+def write_classes(truth: DataFrame, path: str, single: bool = True) -> None:
+    """``v class``."""
+    _write(truth, path, F.col("class").cast("string"), single=single)
+
+
+def write_capacities(capacities: DataFrame, path: str, single: bool = True) -> None:
+    """The capacity of each vertex in the vertices' order, without their numbers."""
+    write_lines(capacities.orderBy("v").select(F.col("capacity").cast("string").alias("value")), path, single)
+
+
+def stream_json(stream, options: dict) -> str:
+    """What a reader of a stream needs besides its files: sizes, the mean weight of the whole graph, the largest batch."""
+    at_most = lambda df: df.groupBy("batch").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    facts = {
+        "num_vertices": stream.num_vertices, "num_edges": stream.edges.count(), "num_batches": stream.num_batches, "similarity_threshold": stream.similarity_threshold,
+        "max_batch_vertices": at_most(stream.vertices), "max_batch_edges": at_most(stream.edges), "options": options,
+    }
+    return json.dumps(facts, indent=2, sort_keys=True) + "\n"
+
+
 def histogram_csv(by_length: dict[int, int]) -> str:
     rows = ["# cycle_size, num_of_cycles", *(f"{k}, {n}" for k, n in sorted(by_length.items()) if n), f"Total, {sum(by_length.values())}"]
     return "\n".join(rows) + "\n"
