@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidegraph.llm.bpe import Counts, Ids, vocabulary
+from tidegraph.llm.bpe import SPECIAL, Counts, Ids, frequent_units, unit_counts, units, vocabulary
 from tidegraph.llm.packing import best_fit, completion, pack
 from tidegraph.llm.token_counts import op1_token_counts, token_counts
 from tokenizers import Tokenizer
@@ -40,6 +41,25 @@ def test_small_caches_change_nothing(documents):
     assert [few(r.text) for r in rows] == [len(ids(r.text)) for r in rows]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | ALPHABET.filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)), max_size=5))
+def test_units_of_an_array_are_those_of_its_texts(some):
+    want = Counter(u for t in some if t is not None and SPECIAL not in t for u in units(t) if 0 < len(u) < 200)
+    got = unit_counts(pa.array(some, pa.string())).to_pylist()
+    assert want == {r["unit"]: r["n"] for r in got} and len(want) == len(got)
+
+
+def test_frequent_units_are_those_of_whole_texts_of_the_whole_table(spark):
+    """The most frequent words come after 1,200 other texts, and far inside a long one."""
+    rows = [f"early{i} early{i}" for i in range(1_200)] + ["late word late word late word"] * 3 + [None, "", " ", "z " * 15_000 + "deep deep deep deep a"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    assert set(frequent_units(docs, 4, PATH)) == {"z", "late", "word", "deep"}
+    few = frequent_units(docs, 5, PATH)
+    assert len(few) == 5 and few == {u: Counts(PATH).get(u) for u in few}
+    got = token_counts(docs, frequent=3).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len(ids(t))) for i, t in enumerate(rows)]
+
+
 def test_counts_of_all_documents(spark, sf, documents):
     got = {r.doc_id: r for r in op1_token_counts(spark, sf).collect()}
     for r in documents.collect():

@@ -10,17 +10,21 @@ from __future__ import annotations
 import base64
 import os
 from array import array
-from collections import Counter
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidegraph.store import discard, materialize
+
 SPECIAL = "<|endoftext|>"
 LINE = array("I", [198]).tobytes()
 _LATIN = "ɐ"  # below it the two libraries' character tables agree; other units go to ``tokenizers``
+LONG = 200  # characters of the shortest unit that no cache keeps
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> str:
@@ -57,7 +61,7 @@ class _Cache(dict):
         if not body or body[0].isspace() or body[-1].isspace():
             raise Odd
         value = self.make(self.coder.ids(body if line else " " + body), line)
-        if len(unit) < 200:
+        if len(unit) < LONG:
             self.used += 200 + len(unit) + (len(value) if isinstance(value, bytes) else 0)  # with an entry's share of the table
             if self.used > self.most:
                 self.clear()
@@ -122,17 +126,47 @@ class Ids:
         return array("I", self.coder.whole(text)).tobytes()
 
 
-def frequent_units(docs: DataFrame, texts_read: int, most: int, path: str) -> dict[str, int]:
-    """Token counts of the ``most`` most frequent units at the beginnings of ``texts_read`` texts (20,000 characters each, so that the driver's
-    share is bounded). It only fills the first tier ahead: any units give the same results."""
-    seen: Counter = Counter()
-    for row in docs.select(F.substring("text", 1, 20_000).alias("text")).take(texts_read):
-        if row.text and SPECIAL not in row.text:
-            seen.update(units(row.text))
-    count, out = Counts(path), {}
-    for unit, _ in seen.most_common(most):
+def unit_counts(texts: pa.Array) -> pa.Table:
+    """The different units of an array of texts and how often each occurs: ``units`` for a whole array, less what tier two wouldn't keep (200 characters
+    or more) and texts with a special token's string, which aren't cut."""
+    wide = texts.cast(pa.large_string()).drop_null()
+    wide = wide.filter(pc.invert(pc.match_substring(wide, SPECIAL)))
+    first, end = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+    lines = pc.replace_substring(pc.binary_join_element_wise(first, wide, end), "\n", " \n")
+    seen = pc.split_pattern(lines, " ").flatten().value_counts()
+    size = pc.utf8_length(seen.field("values"))
+    found = seen.filter(pc.and_(pc.greater(size, 0), pc.less(size, LONG)))
+    return pa.table({"unit": found.field("values").cast(pa.string()), "n": found.field("counts")})
+
+
+def frequent_units(docs: DataFrame, most: int, path: str) -> dict[str, int]:
+    """Token counts of the ``most`` most frequent units of all texts, among those that occur twice at least (any of equally frequent ones at the end).
+
+    Units are counted over whole texts, in the map tasks first. How many units have each frequency says which frequency is the least, so the driver gets
+    those numbers and ``most`` units. It only fills the first tier ahead: any units give the same results."""
+
+    def count(batches):
+        for b in batches:
+            yield from unit_counts(b.column("text")).to_batches()
+
+    parts = docs.select("text").mapInArrow(count, "unit string, n long")
+    often = materialize(parts.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1"), "units")
+    try:
+        left, least = most, None
+        for n, k in sorted(often.groupBy("n").count().collect(), reverse=True):
+            if k > left:
+                least = n
+                break
+            left -= k
+        rows = often.where(F.col("n") > (least or 0)).collect()
+        if least and left:
+            rows += often.where(F.col("n") == least).limit(left).collect()
+    finally:
+        discard(often)
+    counts, out = Counts(path), {}
+    for row in rows:
         try:
-            out[unit] = count.get(unit)
+            out[row.unit] = counts.get(row.unit)
         except Odd:
             continue
     return out

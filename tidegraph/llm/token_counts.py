@@ -12,13 +12,13 @@ from tidegraph.llm.common import batch, bounded_batches, strings, texts
 
 def token_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, vocab: str | None = None,
-    frequent: int = 20_000, frequent_from: int = 1_000, cache_bytes: int = 32 << 20,
+    frequent: int = 20_000, cache_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Tokens of each text by byte-level BPE, as the ``tokenizers`` library counts them, without added special tokens.
 
-    Tier one is a broadcast table with the token counts of at most ``frequent`` units (a word with the blank before it and the marks
-    after it), taken from ``frequent_from`` texts; tier two is a cache of at most ``cache_bytes`` in each worker, filled by encoding
-    what is missed. Both only save time. No unit is shuffled; the plan is one scan.
+    Tier one is a broadcast table with the token counts of the ``frequent`` most frequent units (a word with the blank before it and the
+    marks after it), counted over all texts; tier two is a cache of at most ``cache_bytes`` in each worker, filled by encoding what is
+    missed. Both only save time. The table is scanned twice, for units and for texts; units are shuffled as counts of each task.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and ties each give a row; a null id stays null; an empty table gives
     an empty result; other columns are ignored, whatever their names. A special token's string in a text is that token, as is the
@@ -30,7 +30,7 @@ def token_counts(
     path = vocab or vocabulary()
     src = texts(docs, id_col, text_col)
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(frequent_units(src, frequent_from, frequent, path))
+    known = spark.sparkContext.broadcast(frequent_units(src, frequent, path))
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def count(batches):
