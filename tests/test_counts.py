@@ -46,6 +46,37 @@ def test_cycles_over_chains_of_batches(spark):
         cycles.compute(g, 1)
 
 
+@pytest.mark.parametrize("local", [0, 10**9])
+def test_cycles_are_closed_from_halves(spark, monkeypatch, local):
+    monkeypatch.setattr(cycles, "LOCAL", local)
+    rng = random.Random(11)
+    n = 40
+    pairs = [(a, b) for a in range(8) for b in range(8)]  # a dense corner, the other vertices stay alone
+    edges = set(rng.sample(pairs, 30))
+    g = directed(spark, edges, n)
+    assert cycles.compute(g, 7).to_dict() == oracles.histogram(edges, 7)
+    r = cycles.compute(g, 6)
+    dels, ins = rng.sample(sorted(edges), 6), rng.sample(pairs, 6)
+    ins.append(dels[0])
+    ins, dels = ([e for e in x if e[0] != e[1]] for x in (ins, dels))
+    kept = edges - set(dels)
+    before, after = oracles.histogram(edges, 6), oracles.histogram(kept | set(ins), 6)
+    cycles.update(g, EdgeBatch.of(spark, ins, dels), r)
+    same = oracles.histogram(kept, 6)
+    assert r.to_dict() == after
+    assert r.removed == {k: before[k] - same.get(k, 0) for k in before if before[k] > same.get(k, 0)}
+    assert r.added == {k: after[k] - same.get(k, 0) for k in after if after[k] > same.get(k, 0)}
+
+
+def test_no_path_is_longer_than_half_a_cycle(spark, monkeypatch):
+    made = []
+    longer = cycles._longer
+    monkeypatch.setattr(cycles, "_longer", lambda p, e, name, n, *a: made.append(n) or longer(p, e, name, n, *a))
+    edges = {(a, b) for a in range(6) for b in range(6)}
+    assert cycles.compute(directed(spark, edges, 6), 4).to_dict() == oracles.histogram(edges, 4)
+    assert max(made) == 2
+
+
 def test_set_batches_count_their_no_ops(spark):
     g = directed(spark, [(0, 1), (1, 2)], 3)
     s = g.apply(EdgeBatch.of(spark, [(0, 1), (1, 2), (2, 2), (2, 0)], [(0, 1), (2, 1), (1, 1)]))
