@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph import hypergraph
 from tidegraph.errors import InvalidArgument, OutOfRange, Unsupported
 from tidegraph.functions.motifs import CLASSES, class_of_mask
 from tidegraph.graph import EdgeBatch, Graph, Properties, Semantics
@@ -229,6 +230,45 @@ def test_hyperpaths_over_two_batches(spark):
         h.apply(HyperBatch.of(spark, insert=[[99]], weights=[1]))
 
 
+def test_hyperpaths_write_no_line_graph(spark, monkeypatch):
+    rng = random.Random(5)
+    n, hub = 14, 3
+    lists = [sorted({hub, *rng.sample(range(n), 2)}) if i % 2 else rng.sample(range(n), rng.randint(1, 4)) for i in range(24)]
+    weights = [rng.randint(1, 6) for _ in lists]
+    h = Hypergraph.from_lists(spark, lists, weights, n, HyperProperties(weighted=True))
+    asked = []
+    monkeypatch.setattr(Hypergraph, "line_graph", lambda self: asked.append("line graph"))
+    monkeypatch.setattr(hypergraph.HyperCommit, "pair_delta", lambda self: asked.append("pairs"))
+    source = lists[0][0]
+    r = hyper_sssp.compute(h, source)
+    model, w = oracles.SlotStore(lists), dict(enumerate(weights))
+    for seed in range(2):
+        rng = random.Random(seed)
+        live = sorted(model.live)
+        delete = rng.sample(live, 2)
+        rest = [k for k in live if k not in delete]
+        remove = [(k, model.live[k][0]) for k in rng.sample(rest, 3)]
+        add = [(k, rng.randrange(n)) for k in rng.sample(rest, 3)]
+        insert, new = [rng.sample(range(n), 3) for _ in range(3)], [rng.randint(1, 6) for _ in range(3)]
+        ids = model.apply(delete, remove, add, insert)
+        w |= dict(zip(ids, new))
+        hyper_sssp.update(h, HyperBatch.of(spark, delete, remove, add, insert, new), r)
+        dist, parent = oracles.hyper_paths({k: set(m) for k, m in model.live.items()}, w, source)
+        assert {x.h: (x.distance, x.parent) for x in r.hyperedges().collect()} == {k: (dist.get(k, 2**61 - 1), parent.get(k, -1)) for k in model.live}
+    assert not asked
+
+
+def test_the_budget_of_hyperpaths_is_that_of_the_line_graph(spark):
+    lists = [[i, i + 1] for i in range(12)]
+    h = Hypergraph.from_lists(spark, lists, [1] * 12, 13, HyperProperties(weighted=True))
+    assert hyper_sssp.least_entries(h) <= 2 * h.line_graph().count() == 22
+    for budget, over in ((0.6, "none"), (0.4, "work_budget")):  # 11 hyperedges lose their values and get them back
+        r = hyper_sssp.compute(h, 0, work_budget=budget)
+        s = hyper_sssp.update(h, HyperBatch.of(spark, delete=[0], insert=[[0, 1]], weights=[2 if over == "none" else 3]), r)
+        assert s.more["fallback_reason"] == over and (s.more["line_graph_deletions"], s.more["line_graph_insertions"]) == (1, 1)
+        assert r.state.count() == 12
+
+
 class Wedges(AggregateDeltaProblem):
     """Paths a -> b -> c by their middle's id modulo 3; ``through`` counts each at its smallest changed edge."""
 
