@@ -195,6 +195,25 @@ def test_patterns(spark):
         patterns.Pattern("x", "squares", 1, lambda: None)
 
 
+def test_triples_are_counted_by_shape(spark, monkeypatch):
+    rng = random.Random(9)
+    n = 11
+    lists = [sorted({0, *rng.sample(range(n), rng.randint(0, 4))}) if i % 3 else rng.sample(range(n), rng.randint(1, 5)) for i in range(22)]
+    h = Hypergraph.from_lists(spark, lists, num_vertices=n)
+    listed = []
+    whole = patterns.rows_of
+    monkeypatch.setattr(patterns, "rows_of", lambda h, p: listed.append(p.name) or whole(h, p))
+    r = triads.compute(h)
+    sets = dict(enumerate(map(set, lists)))
+    assert {b: c for b, c in enumerate(r.counts) if c} == oracles.motif_counts(sets)
+    shapes = {tuple(x)[:-1]: int(x.times) for x in patterns.shapes(h.incidence, "triangles").where("times <> 0").collect()}
+    assert sum(shapes.values()) == len(oracles.triads(sets)) and min(shapes.values()) > 0
+    update(h, HyperBatch.of(spark, delete=[2, 7], remove=[(4, 0)], add=[(5, 10)], insert=[[4, 9], [1, 4, 5]]), r)
+    sets = {x.h: set(x.members) for x in h.members().collect()}
+    assert {b: c for b, c in enumerate(r.counts) if c} == oracles.motif_counts(sets)
+    assert not listed
+
+
 def test_weighted_statistics(spark):
     h = Hypergraph.from_lists(spark, HG, num_vertices=10)
     sets = [set(m) for m in HG]
