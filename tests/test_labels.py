@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.errors import InvalidArgument, NotConverged, Unsupported
 from tidegraph.graph import EdgeBatch, Graph
-from tidegraph.operators import labels
+from tidegraph.operators import knn, labels
 from tidegraph.operators.components import connected_components
 from tidegraph.operators.knn import knn_graph, nearest_by_cosine
 from tidegraph.sources.generators import vertex_arrivals
@@ -36,6 +36,24 @@ def test_nearest_by_cosine_against_brute_force(spark):
     assert nearest_by_cosine(df.limit(0), 4).count() == 0
 
 
+def test_nearest_over_many_panels(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 4)
+    monkeypatch.setattr(knn, "PANEL_BYTES", 8 * 4 * 5 * 2)  # two blocks of four vectors of five components
+    x = np.random.default_rng(6).integers(-2, 3, size=(70, 5)).astype(float)  # many equal cosines
+    x[~x.any(1)] = 1.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = {}
+    for r in nearest_by_cosine(df, 3).collect():
+        got.setdefault(r.u, []).append((r["rank"], r.v, r.s))
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    s = np.minimum(unit @ unit.T, 1)
+    np.fill_diagonal(s, -2)
+    for u in range(70):
+        own = sorted(got[u])
+        assert np.allclose([v for _, _, v in own], np.sort(s[u])[::-1][:3]) and np.allclose([s[u, v] for _, v, _ in own], [v for _, _, v in own])
+        assert len({v for _, v, _ in own}) == 3
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     pairs = [tuple(map(int, rng.integers(0, 80, 2))) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]

@@ -4,26 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.errors import InvalidArgument
-from tidegraph.store import materialize
+from tidegraph.store import materialize, measured
 
 BLOCK = 2_048
+PANEL = 32  # blocks that a task holds of either side at most, and
+PANEL_BYTES = 64 << 20  # bytes
 
 
 def nearest_by_cosine(vectors: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(u, v, s, rank): the ``k`` largest cosines of each vector with others, ties to the smaller id.
 
-    Vectors are packed in blocks; a task compares two blocks by a matrix product and passes on ``k`` rows for each of one block's vectors,
-    so neither pairs nor blocks meet in one place. Null and zero vectors and those with null components take no part.
+    Vectors are packed in blocks, blocks make panels of bounded size; a task compares the blocks of two panels by matrix products, keeps the best ``k``
+    of each vector as it goes and passes these on. Its memory is that of two panels, and vectors travel once for each panel, not for each block.
+    All pairs are compared, so the work grows with their square. Null and zero vectors and those with null components take no part.
     """
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(good & F.col("id").isNotNull())
-    rows = materialize(rows, "vectors")
-    n_blocks = max(1, -(-rows.count() // BLOCK))
+    rows, seen = measured(rows, "vectors", F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("size"))
+    n_blocks = max(1, -(-seen["n"] // BLOCK))
+    panel = max(1, min(PANEL, -(-n_blocks // 8), PANEL_BYTES // (8 * BLOCK * (seen["size"] or 1))))
+    n_panels = -(-n_blocks // panel)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -33,24 +37,41 @@ def nearest_by_cosine(vectors: DataFrame, k: int, id_col: str = "id", vector_col
 
     packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, x binary")
     packed = materialize(packed, "vector-blocks")
-    left = packed.select(F.col("block").alias("lb"), F.col("ids").alias("li"), F.col("x").alias("lx"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    both = left.join(packed, "block").repartition(n_blocks * n_blocks, "lb", "block")
+    panels = F.explode(F.sequence(F.lit(0), F.lit(n_panels - 1)))
+    own = F.floor(F.col("block") / panel).cast("int")
+    left = packed.select(own.alias("p"), panels.alias("q"), "ids", "x").repartition(n_panels * n_panels, "p", "q").groupBy("p", "q")
+    right = packed.select(own.alias("q"), panels.alias("p"), "ids", "x").repartition(n_panels * n_panels, "p", "q").groupBy("p", "q")
 
-    def compare(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                li, ri = (np.frombuffer(r[c], np.int64) for c in ("li", "ids"))
-                lx, rx = np.frombuffer(r["lx"], np.float64).reshape(len(li), -1), np.frombuffer(r["x"], np.float64).reshape(len(ri), -1)
+    def blocks(pdf: pd.DataFrame):
+        for ids, x in zip(pdf["ids"], pdf["x"]):
+            i = np.frombuffer(ids, np.int64)
+            yield i, np.frombuffer(x, np.float64).reshape(len(i), -1)
+
+    def compare(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for li, lx in blocks(lefts):
+            best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)  # row, cosine, id
+            least = np.full(len(li), -np.inf)
+            for ri, rx in blocks(rights):
                 s = np.minimum(lx @ rx.T, 1.0)
                 s[li[:, None] == ri[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(s, top, 1)
-                keep = np.isfinite(value)
-                u = np.repeat(li, top.shape[1]).reshape(top.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(ri[top][keep]), pa.array(value[keep])], names=["u", "v", "s"])
+                hits = s >= least[:, None]
+                if np.count_nonzero(hits) > 8 * k * len(li) and k < s.shape[1]:
+                    hits &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                row, col = np.nonzero(hits & (s > -np.inf))
+                row, value, ids = (np.concatenate(x) for x in zip(best, (row, s[row, col], ri[col])))
+                order = np.lexsort((ids, -value, row))
+                row, value, ids = row[order], value[order], ids[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                best = row[nth < k], value[nth < k], ids[nth < k]
+                full = nth == k - 1
+                least[row[full]] = value[full]
+            out.append(pd.DataFrame({"u": li[best[0]], "v": best[2], "s": best[1]}))
+        return pd.concat(out) if out else pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "s": np.empty(0)})
 
+    near = left.cogroup(right).applyInPandas(compare, "u long, v long, s double")
     best = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    return both.mapInArrow(compare, "u long, v long, s double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def knn_graph(vectors: DataFrame, k: int, negative: str = "drop", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
