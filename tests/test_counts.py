@@ -214,6 +214,20 @@ def test_triples_are_counted_by_shape(spark, monkeypatch):
     assert not listed
 
 
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(hypergraph, "PAIRS_A_PART", 20)
+    h = Hypergraph.from_lists(spark, HG, num_vertices=10)
+    sets = dict(enumerate(map(set, HG)))
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    whole = hypergraph.pairs_of(h.incidence)
+    assert {(x.a, x.b): x.overlap for x in whole.collect()} == want
+    # 66 meetings at vertices: four parts, and nothing is summed before the pairs are dealt
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and f", {-(-sum(want.values()) // 20)}" in plan
+    marked = hypergraph.pairs_of(h.incidence, spark.createDataFrame([(2,), (6,)], "h long"))
+    assert {(x.a, x.b): x.overlap for x in marked.collect()} == {p: n for p, n in want.items() if {2, 6} & set(p)}
+
+
 def test_weighted_statistics(spark):
     h = Hypergraph.from_lists(spark, HG, num_vertices=10)
     sets = [set(m) for m in HG]
