@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tidegraph import fixpoint, store
 from tidegraph.errors import InvalidArgument, OutOfRange, StaleResult
 from tidegraph.fixpoint import INFINITE
 from tidegraph.graph import EdgeBatch, Graph, Properties, Semantics
@@ -217,3 +218,18 @@ def test_the_combination_of_trees_follows_the_plain_model(spark):
     trees = [[r.parent for r in sorted(result.tree(k).collect())] for k in range(3)]
     dist, parent = combined_paths(15, trees, [4, 1, 2], 0)
     assert [(r.distance, r.parent) for r in sorted(result.combined().collect())] == list(zip(dist, parent))
+
+
+def test_a_narrow_front_moves_no_arcs(spark, monkeypatch):
+    """However large the file of changes is that the front comes from."""
+    plans = []
+    monkeypatch.setattr(fixpoint, "measured", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store.measured(df, *a))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arcs = spark.createDataFrame([(0, 1, 2), (1, 2, 2), (0, 2, 5)], "src long, dst long, w long")
+        out = fixpoint.solve(arcs, spark.createDataFrame([(0, 0)], "id long, distance long"))
+        assert {tuple(r) for r in out.state.collect()} == {(0, 0, -1), (1, 2, 0), (2, 4, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) > 2 and all("BroadcastHashJoin [src" in p for p in plans[1:])
